@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemint.llm import bpe
+from pagemint.llm import bpe, decontaminate, pii, secret_scan, tiff
+from pagemint.llm import spans as S
 from pagemint.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,5 +28,71 @@ def op1_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {"op1_bpe_round_trip": op1_bpe_round_trip}
+def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of every document; owner is the source, repository the source and language."""
+    docs = table(spark, folder, "documents").select(
+        "doc_id", "text", F.col("source").alias("owner"), F.concat_ws("/", "source", "lang").alias("repository")
+    )
+    found = secret_scan.scan(docs)
+    return found.select(
+        "doc_id",
+        *(S.count(F.col("base"), i).alias(f"n_{k}") for i, k in enumerate(secret_scan.KINDS[: secret_scan.BASE])),
+        F.sha2(S.joined(F.col("base"), secret_scan.KINDS), 256).alias("base_sha256"),
+        S.joined(F.col("spans"), secret_scan.KINDS).alias("spans"),
+        F.size("live").cast("long").alias("n_live"),
+        F.size("copied").cast("long").alias("n_copied"),
+    )
+
+
+def op3_pii_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data of every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    base = F.filter("pii", lambda s: s["kind"] < pii.BASE)
+    return pii.scan(docs).select(
+        "doc_id",
+        *(S.count(F.col("pii"), i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS[: pii.BASE])),
+        F.sha2(S.joined(base, pii.KINDS), 256).alias("base_sha256"),
+        S.joined(F.col("pii"), pii.KINDS).alias("spans"),
+        F.coalesce(F.array_max(F.transform("pii", lambda s: s["score"])), F.lit(0.0)).alias("score"),
+    )
+
+
+def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document inside windows of 8 item words, and the items."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = decontaminate.scan(docs, table(spark, folder, "benchmark").select("item_id", "text"))
+    hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("hit_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"),
+        (F.size("hit_items") >= 2).alias("contaminated"),
+    )
+
+
+def op5_tiff_media(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text as a TIFF file, and what is read back from it."""
+    media = tiff.store(
+        table(spark, folder, "documents").select(
+            "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text"
+        )
+    )
+    return tiff.features(media).select(
+        "doc_id",
+        "n_bytes",
+        "payload_bytes",
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (op1_bpe_round_trip, op2_secret_scan, op3_pii_scan, op4_decontaminate, op5_tiff_media)
+}
 ORACLES: dict[str, str] = {}
