@@ -27,6 +27,8 @@ import sentencepiece
 import tiktoken
 from pyspark.sql import DataFrame
 
+from pagemint.llm.common import slices
+
 #: Pre-tokens kept with their ids in each task; emptied when full.
 CACHE = 200_000
 
@@ -144,15 +146,27 @@ class Codec:
         return b"".join([tokens[i] for i in struct.unpack(f"<{len(ids) // 4}I", ids)])
 
 
+#: The codec of a worker process, kept from task to task.
+HELD: dict[str, Codec] = {}
+
+
+def held_codec(key: str, shared, pattern: str) -> Codec:
+    if key not in HELD:
+        HELD.clear()
+        HELD[key] = Codec(shared.value, pattern)
+    return HELD[key]
+
+
 def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
     """Add ``out``: the ids of ``text``, packed little-endian unsigned 32-bit. No shuffle; rows keep their order."""
     tokens = read_ranks(ranks)
     keep = [f for f in df.schema.fields if f.name != out]
     shared = df.sparkSession.sparkContext.broadcast(tokens)
+    key = f"{sha256(b' '.join(tokens))} {pattern}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value, pattern)
-        for batch in batches:
+        codec = held_codec(key, shared, pattern)
+        for batch in slices(batches):
             ids = pa.array([codec.encode(t.as_py()) for t in batch.column(text)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in keep] + [ids], [f.name for f in keep] + [out])
 
@@ -168,7 +182,7 @@ def decode(df: DataFrame, ranks: str, ids: str = "ids", out: str = "decoded") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             packed = [(x.as_py() or b"") for x in batch.column(ids)]
             texts = [b"".join([table[i] for i in struct.unpack(f"<{len(p) // 4}I", p)]) for p in packed]
             yield pa.RecordBatch.from_arrays(
