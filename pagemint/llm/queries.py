@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemint.llm import bpe, decontaminate, pii, secret_scan, tiff
+from pagemint.llm import bpe, decontaminate, pii, secret_scan, simhash, tiff
 from pagemint.llm import spans as S
 from pagemint.llm.common import table
 
@@ -91,8 +91,18 @@ def op5_tiff_media(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint of every document and the least doc_id that links of 2 bits or less reach."""
+    found = simhash.dedup(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_bpe_round_trip, op2_secret_scan, op3_pii_scan, op4_decontaminate, op5_tiff_media)
+    for f in (op1_bpe_round_trip, op2_secret_scan, op3_pii_scan, op4_decontaminate, op5_tiff_media, op7_simhash_dedup)
 }
 ORACLES: dict[str, str] = {}
