@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemint.llm import bpe, decontaminate, pii, secret_scan, simhash, tiff
+from pagemint.llm import bpe, decontaminate, license_join, pii, secret_scan, simhash, tiff, toxicity
 from pagemint.llm import spans as S
 from pagemint.llm.common import table
 
@@ -101,8 +101,37 @@ def op7_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    found = license_join.scan(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_base",
+        "first_word",
+        "last_word",
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
+
+
+def remainder(n: int):
+    """crc32 of doc_id as text, mod n."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels of those not held out."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    known = table(spark, folder, "labels").select("doc_id", "toxic").where(remainder(4) != 2)
+    scored = toxicity.score(docs, toxicity.learn(docs, known))
+    held_out = F.coalesce(remainder(4) == 2, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_bpe_round_trip, op2_secret_scan, op3_pii_scan, op4_decontaminate, op5_tiff_media, op7_simhash_dedup)
+    for f in (op1_bpe_round_trip, op2_secret_scan, op3_pii_scan, op4_decontaminate, op5_tiff_media, op7_simhash_dedup, op8_license_scan, op9_toxicity)
 }
 ORACLES: dict[str, str] = {}
