@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemint.llm import bpe, decontaminate, license_join, pii, secret_scan, simhash, tiff, toxicity
+from pagemint.llm import bpe, decontaminate, license_join, pii, quality, secret_scan, simhash, tiff, toxicity
 from pagemint.llm import spans as S
 from pagemint.llm.common import table
 
@@ -130,8 +130,17 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document, voted by the labelled ones that are not held out."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    known = table(spark, folder, "labels").select("doc_id", "quality").where(remainder(5) != 0)
+    scored = quality.score(docs, quality.learn(docs, known))
+    held_out = F.coalesce(remainder(5) == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_bpe_round_trip, op2_secret_scan, op3_pii_scan, op4_decontaminate, op5_tiff_media, op7_simhash_dedup, op8_license_scan, op9_toxicity)
+    for f in (op1_bpe_round_trip, op2_secret_scan, op3_pii_scan, op4_decontaminate, op5_tiff_media, op7_simhash_dedup, op8_license_scan, op9_toxicity, op10_quality)
 }
 ORACLES: dict[str, str] = {}
