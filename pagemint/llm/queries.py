@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemint.llm import bpe, decontaminate, license_join, pii, quality, secret_scan, simhash, tiff, toxicity
+from pagemint.llm import bpe, decontaminate, license_join, pii, quality, secret_scan, simhash, suffix_dedup, tiff, toxicity
 from pagemint.llm import spans as S
 from pagemint.llm.common import table
 
@@ -91,6 +91,18 @@ def op5_tiff_media(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of every document inside strings of 200 bytes that start elsewhere too."""
+    found = suffix_dedup.dedup(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op7_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint of every document and the least doc_id that links of 2 bits or less reach."""
     found = simhash.dedup(table(spark, folder, "documents").select("doc_id", "text"))
@@ -141,6 +153,6 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_bpe_round_trip, op2_secret_scan, op3_pii_scan, op4_decontaminate, op5_tiff_media, op7_simhash_dedup, op8_license_scan, op9_toxicity, op10_quality)
+    for f in (op1_bpe_round_trip, op2_secret_scan, op3_pii_scan, op4_decontaminate, op5_tiff_media, op6_suffix_dedup, op7_simhash_dedup, op8_license_scan, op9_toxicity, op10_quality)
 }
 ORACLES: dict[str, str] = {}
