@@ -34,9 +34,12 @@ from pyspark.sql import types as T
 from pagemint.llm.common import slices, words
 
 STEMS = (4, 5, 6)
-#: Edits allowed in a term of at least so many letters; terms that may be misspelled need so much weight and support.
+#: Edits allowed in a term of at least so many letters; terms that may be misspelled need so much weight and support,
+#: in rows and as a share of the toxic rows (words of one much-copied text have some support, but no such share).
 EDITS = {5: 1, 9: 2}
-FUZZY_WEIGHT, FUZZY_SUPPORT = 4.0, 10
+FUZZY_WEIGHT, FUZZY_SUPPORT, FUZZY_SHARE = 3.5, 10, 0.03
+#: A stem counts if so many times as many rows have it as have any one word with it.
+STEM_SUPPORT = 1.5
 EDIT_FACTOR, QUOTE_FACTOR, ADDRESS_FACTOR = 0.8, 0.5, 1.1
 #: Bytes on either side of a match that count as its context.
 WINDOW = 60
@@ -235,12 +238,33 @@ def weight(toxic: float, clean: float, all_toxic: int, all_clean: int) -> float:
 
 
 def lexicon(counts: list[tuple[str, int, int]], all_toxic: int, all_clean: int, least: float, most_terms: int) -> Lexicon:
-    """Of (term, toxic, clean): those of at least ``least`` weight, the best-supported ``most_terms`` of them."""
+    """Of (term, toxic, clean): those of at least ``least`` weight, the best-supported ``most_terms`` of them.
+
+    A stem is a term of its own only if it has clearly more support than any one word with it; a word may be misspelled only
+    if no such stem stands for it already.
+    """
     if not all_toxic or not all_clean:
         return Lexicon({})
-    rated = [(weight(t, c, all_toxic, all_clean), t, term) for term, t, c in counts if t >= 3]
+    by_stem: dict[str, int] = {}
+    for term, t, _ in counts:
+        if not term.endswith("*"):
+            for k in STEMS:
+                stem = f"{term[:k]}*"
+                by_stem[stem] = max(by_stem.get(stem, 0), t)
+    rated = [
+        (weight(t, c, all_toxic, all_clean), t, term)
+        for term, t, c in counts
+        if t >= 3 and (not term.endswith("*") or t >= STEM_SUPPORT * by_stem.get(term, 0))
+    ]
     good = sorted([r for r in rated if r[0] >= least], key=lambda r: (-r[0] * math.log1p(r[1]), r[2]))[:most_terms]
-    may_err = {term for w, t, term in good if not term.endswith("*") and len(term) >= 5 and w >= FUZZY_WEIGHT and t >= FUZZY_SUPPORT}
+    stems = {term: t for _, t, term in good if term.endswith("*")}
+    alone = lambda term, t: all(stems.get(f"{term[:k]}*", 0) < STEM_SUPPORT * t for k in STEMS)
+    enough = max(FUZZY_SUPPORT, FUZZY_SHARE * all_toxic)
+    may_err = {
+        term
+        for w, t, term in good
+        if not term.endswith("*") and edits_allowed(term) and w >= FUZZY_WEIGHT and t >= enough and alone(term, t)
+    }
     clean_words = {term for term, t, c in counts if c > 0 and not term.endswith("*")}
     return Lexicon({term: w for w, _, term in good}, frozenset(may_err), frozenset(clean_words))
 
@@ -284,7 +308,8 @@ def learn(
     """
     few = F.broadcast(sampled(labels, doc_id, label, sample))
     rows = docs.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").alias("text")).join(few, "__id")
-    rows = rows.select("text", F.col(label).alias("toxic"), "fold")
+    # exact copies are one witness
+    rows = rows.groupBy("text").agg(F.max(label).alias("toxic"), F.min("fold").alias("fold"))
     sizes = {(r["fold"], r["toxic"]): r["count"] for r in rows.groupBy("fold", "toxic").count().collect()}
     size = lambda fold, y: sizes.get((fold, y), 0)
     toxic = F.coalesce("0_toxic", F.lit(0)) + F.coalesce("1_toxic", F.lit(0))
