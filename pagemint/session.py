@@ -6,11 +6,17 @@ import os
 
 from pyspark.sql import SparkSession
 
+#: Rows of a batch that goes to a Python worker, where the session has Spark's own default: texts may be long.
+ARROW_ROWS = "1000"
 HERE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def importable(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver has it (a shared path, or shipped with --py-files)."""
+    """Let Python workers import this package from where the driver has it (a shared path, or shipped with --py-files), and
+    keep their batches small."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows, "10000") in (None, "10000"):
+        spark.conf.set(rows, ARROW_ROWS)
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if HERE not in paths:
