@@ -204,7 +204,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def without(text: str, spans: list[tuple[int, int]]) -> str:
     """The text less its words of ``spans`` and what stands between them; a space takes the place of each span."""
     raw = text.encode("utf-8", "surrogatepass")
-    places = [m.span() for m in WORD.finditer(raw)]
+    places = [m.span() for m in WORD.finditer(raw.lower())]
     out, at = [], 0
     for a, b in spans:
         out += [raw[at : places[a][0]], b" "]
