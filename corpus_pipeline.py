@@ -44,7 +44,7 @@ def redact_personal(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
 def tokenize(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Token ids (packed, little-endian unsigned 32-bit), their number, and the text decoded from them."""
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = bpe.decode(bpe.encode(docs, ranks, pattern).drop("text"), ranks)
+    coded = bpe.round_trip(docs, ranks, pattern)
     return coded.select(
         *(F.decode("decoded", "UTF-8").alias("text") if c == "text" else F.col(c) for c in docs.columns),
         (F.length("ids") / 4).cast("long").alias("n_tokens"),

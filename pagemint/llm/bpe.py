@@ -26,11 +26,12 @@ import regex
 import sentencepiece
 import tiktoken
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from pagemint.llm.common import slices
 
 #: Pre-tokens kept with their ids in each task; emptied when full.
-CACHE = 200_000
+CACHE = 60_000
 
 
 def byte_chars() -> list[str]:
@@ -174,6 +175,27 @@ def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", out: str
     return df.mapInArrow(run, f"{schema}, `{out}` binary")
 
 
+def round_trip(
+    df: DataFrame, ranks: str, pattern: str, text: str = "text", out: str = "ids", decoded: str = "decoded"
+) -> DataFrame:
+    """Replace ``text`` by ``out``, as ``encode`` gives it, and ``decoded``, as ``decode`` gives it from those ids, in one pass."""
+    tokens = read_ranks(ranks)
+    keep = [f for f in df.schema.fields if f.name not in (text, out, decoded)]
+    names = [*(f.name for f in keep), out, decoded]
+    shared = df.sparkSession.sparkContext.broadcast(tokens)
+    key = f"{sha256(b' '.join(tokens))} {pattern}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = held_codec(key, shared, pattern)
+        for batch in slices(batches):
+            ids = [codec.encode(t.as_py()) for t in batch.column(text)]
+            back = [codec.decode(i) for i in ids]
+            own = [batch.column(f.name) for f in keep]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(ids, pa.binary()), pa.array(back, pa.binary())], names)
+
+    return df.mapInArrow(run, T.StructType([*keep, T.StructField(out, T.BinaryType()), T.StructField(decoded, T.BinaryType())]))
+
+
 def decode(df: DataFrame, ranks: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add ``out``: the bytes that ``ids`` stand for (null ids count as none)."""
     tokens = read_ranks(ranks)

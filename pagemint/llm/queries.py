@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pagemint.llm import bpe, decontaminate, license_join, pii, quality, secret_scan, simhash, suffix_dedup, tiff, toxicity
 from pagemint.llm import spans as S
 from pagemint.llm.common import table
+from pagemint.llm.oracles import ORACLES  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,7 +20,7 @@ def op1_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every whole text and the bytes they decode to, as digests."""
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    coded = bpe.decode(bpe.encode(docs, ranks, pattern).drop("text"), ranks)
+    coded = bpe.round_trip(docs, ranks, pattern)
     return coded.select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
@@ -155,4 +156,3 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (op1_bpe_round_trip, op2_secret_scan, op3_pii_scan, op4_decontaminate, op5_tiff_media, op6_suffix_dedup, op7_simhash_dedup, op8_license_scan, op9_toxicity, op10_quality)
 }
-ORACLES: dict[str, str] = {}

@@ -48,7 +48,7 @@ QUOTES = re.compile("[\"“”„«»]")
 REPORTING = re.compile(r"\b(?:said|says|wrote|called|quoted?|quoting|the word|cited|dijo|a dit|sagte)\b[^.!?\n]*$", re.I)
 ADDRESS = re.compile(r"\b(?:you|your|you're|u|tu|vous|toi|du|dich|ihr|usted|eres)\b", re.I)
 #: Counters of one task are handed on when they hold this many terms.
-FLUSH = 300_000
+FLUSH = 60_000
 
 
 class Automaton:
@@ -156,7 +156,7 @@ class Scorer:
 
     def hits(self, text: str | None) -> dict[bytes, tuple[float, int]]:
         ws, cache, found = set(words(text)), self.cache, {}
-        if len(cache) > 200_000:
+        if len(cache) > 60_000:
             cache.clear()
         for w in ws:
             hit = cache.get(w)
