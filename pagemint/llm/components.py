@@ -15,6 +15,10 @@ from pagemint.llm.common import stored
 MOST_ROUNDS = 60
 
 
+# The minima are stored before they are joined back: Spark splits the hot keys of a join only where neither side is an
+# aggregate on the same key, and a star's centre may be such a key.
+
+
 def _state(links: DataFrame) -> tuple:
     low = F.xxhash64("a", "b").bitwiseAND(F.lit((1 << 40) - 1))
     return tuple(links.agg(F.count("*"), F.sum(low)).first())
@@ -22,13 +26,13 @@ def _state(links: DataFrame) -> tuple:
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "minima")
     return both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = stored(down.groupBy("a").agg(F.min("b").alias("m")), "minima")
     moved = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 

@@ -83,13 +83,15 @@ def scan(
     each = candidates.select("row", "owner", "repository", F.explode("spans").alias("s")).select(
         "row", "owner", "repository", "s", F.col("s.value").alias("value")
     )
-    owners = (
+    # stored: Spark splits the hot keys of a join only where neither side is an aggregate on the same key
+    owners = stored(
         each.groupBy("value", "owner", "repository")
         .agg(F.count("*").alias("places"))
         .groupBy("value", "owner")
         .agg(F.count("*").alias("repositories"), F.sum("places").alias("places"))
         .groupBy("value")
-        .agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.sum("places").alias("places"))
+        .agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.sum("places").alias("places")),
+        "secret-owners",
     )
     judged = (
         each.join(owners, "value")

@@ -119,7 +119,9 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     placed = distinct.join(roots, distinct.fingerprint == roots.node, "left").select(
         "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")
     )
-    named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component")), "root").select("fingerprint", "component")
+    placed = stored(placed, "placed")
+    least = stored(placed.groupBy("root").agg(F.min("least").alias("component")), "least")
+    named = placed.join(least, "root").select("fingerprint", "component")
     return prints.join(named, "fingerprint").select(F.col("id").alias(doc_id), "fingerprint", "component")
 
 
@@ -156,14 +158,15 @@ def similar_pairs(entries: DataFrame, most: int) -> DataFrame:
         F.col("place").bitwiseAND(255).alias("place"), "value", "entry", F.xxhash64("place", "entry").alias("order")
     )
     by_order = F.struct("order", "entry")
-    chosen = (
+    chosen = stored(
         rows.groupBy("place", "value")
         .agg(
             F.count("*").alias("n"),
             F.array(F.min("entry"), F.max("entry"), F.min(by_order)["entry"], F.max(by_order)["entry"]).alias("chosen"),
         )
         .where("n > 1")
-        .select("place", "value", F.array_distinct("chosen").alias("chosen"))
+        .select("place", "value", F.array_distinct("chosen").alias("chosen")),
+        "representatives",
     )
     met = rows.join(chosen, ["place", "value"]).select("entry", F.explode("chosen").alias("other")).where("entry <> other")
     pairs = met.select(F.least("entry", "other").alias("a"), F.greatest("entry", "other").alias("b")).distinct()
