@@ -31,78 +31,113 @@ def plain(latex: str) -> bool:
     return re.search(r"[\\^_=<>+±×·−]", latex) is not None and len(fold.squeeze(f"${latex}$")) >= 2
 
 
-@lru_cache(100_000)
-def symbols(tex: str) -> tuple[str, ...] | None:
-    """The symbols an equation renders; None where it is not understood (unbalanced, or an unknown command)."""
-    if not mathtext.balanced(tex):
-        return None
+#: Commands that render alike, and symbols read as one. Fixed values.
+ALIASES = {"widehat": "hat", "widetilde": "tilde", "overrightarrow": "vec", "dfrac": "frac", "tfrac": "frac", "cfrac": "frac"}
+ALIKE = {"ϵ": "ε", "ϕ": "φ", "ϑ": "θ", "ϱ": "ρ", "-": "−", "*": "∗"}
+#: Distinct commands nobody knows that are dropped from an output's math, at most.
+MOST_UNKNOWN = 4
+TOKEN = re.compile(r"\\([A-Za-z]+)\*?|\\(.)|(\d+(?:\s*(?:\.|\\cdot)\s*\d+)?)|(\s+)|(.)", re.S)
+FUNCTION = re.compile(r"sin|cos|tan|log|ln|exp|lim|max|min|sup|inf|det|dim|ker|arg|deg|gcd|Pr")
+
+
+def _symbols(tex: str, unknown: set[str]) -> list[str]:
     out: list[str] = []
     at = 0
     while at < len(tex):
-        m = re.compile(r"\\([A-Za-z]+)\*?|\\(.)|(\d+(?:\.\d+)?)|(\s+)|(.)", re.S).match(tex, at)
+        m = TOKEN.match(tex, at)
         at = m.end()
         command, escaped, number, space, other = m.groups()
-        if command in ("frac", "dfrac", "tfrac", "cfrac"):
+        command = ALIASES.get(command, command)
+        if command == "frac":
             top, at = mathtext._group(tex, at)
             low, at = mathtext._group(tex, at)
-            parts = symbols(top), symbols(low)
-            if None in parts:
-                return None
-            out += ["frac(", *parts[0], ",", *parts[1], ")"]
-        elif command == "sqrt" or command in mathtext.ACCENTS:
+            out += ["frac(", *_symbols(top, unknown), ",", *_symbols(low, unknown), ")"]
+        elif command == "sqrt" or command in mathtext.ACCENTS or command in STYLES:
             body, at = mathtext._group(tex, at)
-            inner = symbols(body)
-            if inner is None:
-                return None
-            out += [f"{command}(", *inner, ")"]
-        elif command in STYLES:
-            body, at = mathtext._group(tex, at)
-            inner = symbols(body)
-            if inner is None:
-                return None
-            out += inner
+            inner = _symbols(body, unknown)
+            out += inner if command in STYLES else [f"{command}(", *inner, ")"]
         elif command in ("begin", "end", "label", "tag"):
             at = mathtext._group(tex, at)[1]
         elif command in IGNORED or space:
             continue
         elif command in mathtext.SYMBOLS:
-            out += [c for c in mathtext.SYMBOLS[command] if not c.isspace()]
+            out += [ALIKE.get(c, c) for c in mathtext.SYMBOLS[command] if not c.isspace()]
         elif command is not None:
-            if not re.fullmatch(r"sin|cos|tan|log|ln|exp|lim|max|min|sup|inf|det|dim|ker|arg|deg|gcd|Pr", command):
-                return None
-            out += command
+            if FUNCTION.fullmatch(command):
+                out += command
+            else:
+                unknown.add(command)
         elif escaped is not None:
-            out += [] if escaped in ",;:! " else [escaped]
+            out += [] if escaped in ",;:! \\" else [escaped]
         elif other in ("_", "^"):
             body, at = mathtext._group(tex, at)
-            inner = symbols(body)
-            if inner is None:
-                return None
-            out += [f"{other}(", *inner, ")"]
+            out += [f"{other}(", *_symbols(body, unknown), ")"]
         elif other in ("{", "}", "&"):
             continue
+        elif number is not None:
+            out.append(re.sub(r"\s*(?:\.|\\cdot)\s*", ".", number))
         else:
-            out.append(number or {"-": "−", "*": "∗"}.get(other, other))
-    return tuple(out)
+            out.append(ALIKE.get(other, other))
+    return out
+
+
+@lru_cache(100_000)
+def symbols(tex: str, most_unknown: int = 0) -> tuple[str, ...] | None:
+    """The symbols an equation renders; None where it is not understood (unbalanced, or too many unknown commands)."""
+    unknown: set[str] = set()
+    if not mathtext.balanced(tex):
+        return None
+    out = tuple(_symbols(tex, unknown))
+    return out if len(unknown) <= most_unknown else None
+
+
+WORDS = re.compile(r"(?<![\\\w])[^\W\d_]{2,}")
+DELIMITED = re.compile(r"\\\[(.+?)\\\]|\\\((.+?)\\\)", re.S)
 
 
 @lru_cache(256)
-def math_of(html: str) -> tuple[tuple[str, ...], ...]:
-    """Symbols of every math span of a page."""
+def _read(html: str) -> tuple[tuple[tuple[str, ...], ...], str]:
+    """Symbols of every math span of a page, and the page's text without them."""
     text = views.visible(html)
     bodies = [m[2] for m in ENVIRONMENT.finditer(text)]
-    bodies += [m[1] for m in re.finditer(r"\\\[(.+?)\\\]|\\\((.+?)\\\)", text, re.S) if m[1]]
-    bodies += [m[1] for m in re.finditer(r"\\\((.+?)\\\)", text, re.S)]
-    bodies += [s.body for s in mathtext.spans(text)]
-    return tuple(s for s in (symbols(b) for b in bodies) if s)
+    text = ENVIRONMENT.sub(" ", text)
+    bodies += [m[1] or m[2] for m in DELIMITED.finditer(text)]
+    text = DELIMITED.sub(" ", text)
+    found = mathtext.spans(text)
+    bodies += [s.body for s in found]
+    run = found[:1]
+    for s in found[1:]:  # spans with nothing between them may hold one equation
+        run = [*run, s] if not text[run[-1].end : s.start].strip() else [s]
+        if len(run) > 1:
+            bodies.append(" ".join([x.body for x in run]))
+    for s in reversed(found):
+        text = f"{text[: s.start]} \0 {text[s.end :]}"
+    for line in re.split(rf"[\n{views.BREAK}]", text):  # a line that is LaTeX without its delimiters
+        if "\0" not in line and mathtext.MARKUP.search(line) and mathtext.balanced(line) and not WORDS.search(line):
+            bodies.append(line)
+    return tuple(s for s in (symbols(b, MOST_UNKNOWN) for b in bodies) if s), text
+
+
+def math_of(html: str) -> tuple[tuple[str, ...], ...]:
+    return _read(html)[0]
+
+
+def in_text(latex: str, text: str) -> bool:
+    """Whether a text writes an equation plainly: its characters in order, spaces aside, not cut out of a longer expression."""
+    want = "".join(fold.fold_cased(f"${latex}$").split())
+    if not want:
+        return False
+    body = r"\s*".join(map(re.escape, want))
+    return re.search(rf"(?<![\w.+−-])(?<![+−-]\s){body}(?![\w^])(?![.,]\d)", fold.fold_cased(text)) is not None
 
 
 def found(page, latex: str) -> tuple[bool, str]:
     """Whether the output's math holds the equation as a whole expression, or, for plain ones, its text does."""
-    want, have = symbols(latex), math_of(page.html)
+    want = symbols(latex)
+    have, rest = _read(page.html)
     if want and any(_holds(want, s) for s in have):
         return True, ""
-    if plain(latex) and fold.squeeze(f"${latex}$") in fold.squeeze(page.text):
+    if plain(latex) and in_text(latex, rest):
         return True, ""
     if not have:
         return False, "no math in the output"
