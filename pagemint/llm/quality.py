@@ -4,8 +4,8 @@ A text becomes a vector of counts: hashed trigrams of its character shapes (lett
 collapse, punctuation stays), hashed words, and soft bins of a few whole-text ratios. At most ``sample`` labelled rows (those
 of least hash of the id) give idf weights and, by a truncated singular value decomposition, the latent space; their latent
 vectors are broadcast. Every document is projected, its exact cosines with all labelled vectors are worked out in blocks,
-and its nearest neighbours vote with their labels, weighted by a power of similarity. A document is never its own neighbour's
-evidence: an equal vector of the same id is left out of the vote.
+and its nearest neighbours vote with their labels, weighted by a power of similarity. Labelled rows with the very same vector as a
+document have no vote on it, so a labelled document's own label is no input of its score.
 
 Labels, language, source and id are no inputs of a score. The broadcast holds ``sample`` x ``rank`` numbers whatever the
 corpus; texts are read once for the fit (labelled rows only) and once for the score, and not shuffled.
@@ -33,6 +33,8 @@ from pagemint.llm.toxicity import sampled
 SHAPES, WORDS, BINS = 512, 448, 8
 RATIOS = 8
 SIZE = SHAPES + WORDS + RATIOS * BINS
+#: A cosine within this of 1 is that of the same text.
+SAME = 1e-5
 #: Share of each block in a vector's squared length.
 BLOCKS = ((0, SHAPES, 0.4), (SHAPES, SHAPES + WORDS, 0.1), (SHAPES + WORDS, SIZE, 0.5))
 
@@ -109,13 +111,12 @@ def vector(text: str | None) -> np.ndarray:
 
 @dataclass
 class Model:
-    """idf weights, the latent basis, and the labelled rows' unit vectors, labels and text checksums."""
+    """idf weights, the latent basis, and the labelled rows' unit vectors, and labels."""
 
     idf: np.ndarray
     basis: np.ndarray
     known: np.ndarray
     labels: np.ndarray
-    ids: list
     mean: float
     neighbours: int
     power: float
@@ -124,15 +125,12 @@ class Model:
         z = weighted(vectors, self.idf) @ self.basis
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
 
-    def vote(self, vectors: np.ndarray, ids: list) -> np.ndarray:
+    def vote(self, vectors: np.ndarray) -> np.ndarray:
         """Scores of a block of documents: exact cosines with all labelled vectors, the nearest of them vote."""
         if not len(self.labels):
             return np.full(len(vectors), self.mean)
         near = (self.latent(vectors) @ self.known.T).astype(np.float64)
-        place = {x: i for i, x in enumerate(self.ids)}
-        for i, x in enumerate(ids):
-            if (own := place.get(x)) is not None:
-                near[i, own] = -1.0
+        near[near > 1 - SAME] = -1.0
         k = min(self.neighbours, near.shape[1])
         top = np.argpartition(-near, k - 1, axis=1)[:, :k]
         weight = np.maximum(np.take_along_axis(near, top, 1), 0.0) ** self.power + 1e-9
@@ -172,19 +170,19 @@ def learn(
     names = schema.names
     got = sorted(map(tuple, rows.mapInArrow(run, schema).collect()), key=lambda r: (str(r[0]), r[1], r[2]))
     if not got:
-        return Model(np.ones(SIZE), np.zeros((SIZE, 1)), np.zeros((0, 1)), np.zeros(0), [], 0.5, neighbours, power)
+        return Model(np.ones(SIZE), np.zeros((SIZE, 1)), np.zeros((0, 1)), np.zeros(0), 0.5, neighbours, power)
     v = np.frombuffer(b"".join([r[2] for r in got]), np.float32).reshape(len(got), SIZE)
     y = np.array([r[1] for r in got], float)
     used = (v > 0).sum(axis=0)
     idf = np.log((1 + len(v)) / (1 + used)).astype(np.float32) + 1
     x = weighted(v, idf).astype(np.float64)
     _, vectors = np.linalg.eigh(x.T @ x)  # the right singular vectors of x
-    model = Model(idf, vectors[:, ::-1][:, :rank].astype(np.float32), v[:0], y, [r[0] for r in got], float(y.mean()), neighbours, power)
+    model = Model(idf, vectors[:, ::-1][:, :rank].astype(np.float32), v[:0], y, float(y.mean()), neighbours, power)
     model.known = model.latent(v).astype(np.float32)
     return model
 
 
-def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:
+def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """Add score (0 to 1) and predicted (1 if score >= threshold)."""
     if clash := {"score", "predicted"} & set(docs.columns):
         raise ValueError(f"columns {sorted(clash)} are outputs; rename them first")
@@ -196,7 +194,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         model = shared.value
         for batch in slices(batches):
             vectors = np.stack([vector(t.as_py()) for t in batch.column(text)])
-            got = np.round(model.vote(vectors, batch.column(doc_id).to_pylist()), 9)
+            got = np.round(model.vote(vectors), 9)
             cells = [pa.array(got, pa.float64()), pa.array((got >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *cells], names)
 

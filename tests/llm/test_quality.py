@@ -46,10 +46,10 @@ def test_votes_are_exact(corpus):
     model = Q.learn(docs, labels, neighbours=7)
     texts = [r.text for r in docs.where("doc_id < 40").collect()]
     vectors = np.stack([Q.vector(t) for t in texts])
-    got = model.vote(vectors, [None] * len(texts))
+    got = model.vote(vectors)
     z = model.latent(vectors)
     for i in range(len(texts)):
-        near = sorted(range(len(model.labels)), key=lambda j: -float(z[i] @ model.known[j]))[:7]
+        near = sorted((j for j in range(len(model.labels)) if float(z[i] @ model.known[j]) <= 1 - Q.SAME), key=lambda j: -float(z[i] @ model.known[j]))[:7]
         w = np.array([max(0.0, float(z[i] @ model.known[j])) ** model.power + 1e-9 for j in near])
         assert abs(got[i] - (w * model.labels[near]).sum() / w.sum()) < 1e-3
 
