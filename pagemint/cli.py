@@ -12,7 +12,7 @@ from pagemint import vocab
 from pagemint.operators import statistics, summary
 from pagemint.operators.grade import grade
 from pagemint.session import local_session
-from pagemint.sources import dataset
+from pagemint.sources import dataset, formats
 
 PREDICTION_FILES = "predictions/*.json"
 
@@ -85,6 +85,35 @@ def reliability(spark, args) -> None:
     say(rows(found.where("flag") if args.flagged else found))
 
 
+def score(spark, args) -> None:
+    """Verdicts of one page: a file of html (or blocks as JSON) against a gold file."""
+    with open(args.gold) as f:
+        gold = spark.createDataFrame([("page", f.read())], "page_id string, content string")
+    with open(args.output) as f:
+        said = f.read()
+    found = dataset.parse_tests(gold)
+    dataset.refuse(found.select("page_id", F.explode("errors").alias("rule")))
+    blocks = F.from_json(F.lit(said), dataset.BLOCK) if args.blocks else F.lit(None).cast(dataset.BLOCK)
+    html = F.lit(None if args.blocks else said).cast("string")
+    answer = spark.range(1).select(F.lit("page").alias("page_id"), html.alias("html"), blocks.alias("blocks"))
+    page = spark.createDataFrame([("page", "document", "other")], "page_id string, document string, suite string")
+    for r in grade(found.drop("errors"), answer, page).orderBy("test_id").collect():
+        say({"test_id": r["test_id"], "result": "pass" if r["passed"] else "fail", "why": r["why"]})
+
+
+def reread(spark, args) -> None:
+    """Blocks of saved answers (a JSON file a page) by a format, as prediction files' content."""
+    files = spark.read.option("wholetext", True).text(f"{args.answers}/*.json")
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1)
+    raw = files.select(name.alias("page_id"), F.col("value").alias("raw"))
+    for r in formats.read_answers(raw, formats.FORMATS[args.format]).drop("raw").toLocalIterator():
+        say(r.asDict(recursive=True))
+
+
+def systems(spark, args) -> None:
+    say({name: {"labels": form.labels, "blocks": form.blocks} for name, form in formats.FORMATS.items()})
+
+
 def vocabulary(spark, args) -> None:
     say({"test_types": vocab.TEST_TYPES, "derivations": vocab.DERIVATIONS, "labels": vocab.LABELS, "marks": vocab.MARKS})
 
@@ -114,6 +143,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--min-documents", type=int, default=10)
     p.add_argument("--unbalanced", action="store_true")
     p.add_argument("--flagged", action="store_true")
+    add("score", score, "gold", "output").add_argument("--blocks", action="store_true")
+    add("reread", reread, "answers").add_argument("--format", choices=sorted(formats.FORMATS), required=True)
+    add("systems", systems)
     add("vocabulary", vocabulary)
     return top
 

@@ -39,3 +39,15 @@ def test_commands(folders, capsys):
     assert cli.main(["intervals", run, "--resamples", "10"]) == 1
     cli.main(["tests", data])
     assert len(capsys.readouterr().out.splitlines()) == 12
+
+
+def test_one_page(spark, folders, tmp_path, capsys):
+    (tmp_path / "page.html").write_text("<p>Hello</p>")
+    assert cli.main(["score", f"{folders[0]}/gold/p0.json", str(tmp_path / "page.html")]) == 0
+    got = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert [(g["test_id"], g["result"]) for g in got] == [("a0", "pass"), ("b0", "fail")]
+    (tmp_path / "answers").mkdir()
+    (tmp_path / "answers" / "x.json").write_text(json.dumps({"blocks": [{"type": "title", "bbox": [0, 0, 1, 0.5], "content": "T"}]}))
+    assert cli.main(["reread", str(tmp_path / "answers"), "--format", "mineru"]) == 0
+    assert json.loads(capsys.readouterr().out)["blocks"] == [{"label": "heading", "bbox": [0.0, 0.0, 1.0, 0.5], "text": "T"}]
+    assert cli.main(["systems"]) == 0
