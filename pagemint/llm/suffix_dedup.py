@@ -12,8 +12,9 @@ bucket of their anchor. Consecutive windows with one anchor form a region, the u
    depth; groups still together there are ordered by blind tries, built breadth first: each member is compared with the
    group's first one, and goes on with those that branch off it at the same place by the same byte. Suffixes found equal
    over the whole length are the repeated windows. Bytes are compared, not hashes.
-4. A bucket of more than ``most_regions`` different regions is not sorted in one task. Its windows are counted by content
-   hash (anchor and window: 128 bits), combined before the shuffle: exact for buckets of any size.
+4. A bucket of more than ``most_regions`` different regions is not sorted in one task. Its windows are told apart by counts
+   of content hashes (128 bits with the anchor's), over ranges of windows that are cut where counts do not decide: exact
+   for buckets of any size, and no rows of a bucket come together.
 
 Spans of repeated windows meet at their document by id, where the text is read again. Both uses of the texts share one
 shuffle. Narrow tables between the steps are written to the shared folder.
@@ -43,7 +44,10 @@ LOW = np.uint64((1 << 20) - 1)
 #: Depth in bytes to which multikey quicksort goes, and bytes of regions that are sorted at once (whole buckets).
 SHALLOW = 32
 SORTED_AT_ONCE = 2_000_000
-MOST_REGIONS = 256
+#: A bucket of so many different regions (some 200 KB) is still sorted in one task.
+MOST_REGIONS = 768
+#: Widths of the nodes into which larger buckets are cut, in windows; those that leave windows no middle are left out.
+NODE_WIDTHS = (32, 8, 2, 1)
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
@@ -282,21 +286,67 @@ def spans(docs: DataFrame, texts: DataFrame, length: int, most_regions: int) ->
             yield done()
 
     in_order = copies.where("not large").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(order, span)
-    window = T.StructType([T.StructField("anchor", long), key_field, T.StructField("at", long), T.StructField("window", long)])
-    window_names = window.names
+    return whole.unionByName(in_order).unionByName(counted_spans(copies.where("large").drop("large"), length))
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            for i, (first, count, raw) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("first", "count", "bytes")))):
-                start = np.arange(count)
-                found = hashes(sums(np.frombuffer(raw, np.uint8), 1), 1, start, start + length).view(np.int64)
-                own = [batch.column(c).take(pa.array(np.full(count, i))) for c in ("anchor", "key")]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(start + first), pa.array(found)], window_names)
-
-    each = stored(copies.where("large").mapInArrow(windows, window), "windows")
-    twice = stored(each.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "repeated-windows")
-    counted = each.join(twice, ["anchor", "window"]).select("key", F.col("at").alias("start"), (F.col("at") + length).alias("end"))
-    return whole.unionByName(in_order).unionByName(counted)
+
+def counted_spans(copies: DataFrame, length: int) -> DataFrame:
+    """(key, start, end) of repeated bytes in buckets of any size, from (anchor, key, first, count, away, bytes).
+
+    Windows of a bucket are told apart by their distance to the anchor; nodes are ranges of distances. All windows of a
+    node hold its middle (the bytes common to them), and lie in its whole. A node whose whole is that of another region has
+    only repeated windows; one whose middle no other region has, none; any other is cut into narrower nodes, down to single
+    windows. So a region costs a few small rows at each width, and counts are combined before they are shuffled.
+    """
+    long = T.LongType()
+    node = T.StructType([*copies.schema.fields, *(T.StructField(n, long) for n in ("node", "middle", "whole"))])
+    names, own = node.names, copies.columns
+    key = copies.schema["key"]
+    found = None
+    rest, before = copies.withColumn("node", F.lit(None).cast("long")), 0
+    for width in [w for w in NODE_WIDTHS if w <= length - GRAM]:
+
+        def cut(batches: Iterator[pa.RecordBatch], width=width, before=before) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                rows, cells = [], []
+                for k, (count, away, raw, of) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("count", "away", "bytes", "node")))):
+                    if of is None:
+                        nodes = range((away - count + 1) // width, away // width + 1)
+                    else:
+                        nodes = range(of * before // width, (of + 1) * before // width)
+                    j = np.array(nodes, np.int64)
+                    low, high = away - (j + 1) * width + 1, away - j * width  # first and last window of each node
+                    j, low, high = (x[(high >= 0) & (low < count)] for x in (j, low, high))
+                    prefix = sums(np.frombuffer(raw, np.uint8), 1)
+                    middle = hashes(prefix, 1, high, low + length)
+                    full = (low >= 0) & (high < count)
+                    whole = hashes(prefix, 1, np.maximum(low, 0), np.minimum(high, count - 1) + length)
+                    rows.append(np.full(len(j), k))
+                    cells.append((j, middle.view(np.int64), whole.view(np.int64), full))
+                if rows:
+                    j, middle, whole, full = (np.concatenate([c[i] for c in cells]) for i in range(4))
+                    take = pa.array(np.concatenate(rows))
+                    new = [pa.array(j), pa.array(middle), pa.array(whole, mask=~full)]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in own), *new], names)
+
+        nodes = stored(rest.mapInArrow(cut, node), "nodes")
+        equal = nodes.where("whole is not null").groupBy("anchor", "node", "whole")
+        equal = stored(equal.agg(F.count("*").alias("n"), F.min(F.struct("key", "first")).alias("one")).where("n > 1"), "equal-nodes")
+        done = nodes.join(equal, ["anchor", "node", "whole"]).select(
+            "key",
+            F.expr(f"first + away - (node + 1) * {width} + 1").alias("start"),
+            F.expr(f"first + away - node * {width} + {length}").alias("end"),
+        )
+        found = done if found is None else found.unionByName(done)
+        if width == NODE_WIDTHS[-1]:
+            break
+        # one of equal nodes stays, for others to be compared with
+        differing = nodes.join(equal, ["anchor", "node", "whole"], "left").where("one is null or one = struct(key, first)")
+        differing = stored(differing.select(*own, "node", "middle"), "differing-nodes")
+        shared = differing.groupBy("anchor", "node", "middle").agg(F.count("*").alias("n")).where("n > 1")
+        shared = stored(shared.select("anchor", "node", "middle"), "shared-nodes")
+        rest = differing.join(shared, ["anchor", "node", "middle"]).select(*own, "node")
+        before = width
+    return found.select(F.col("key").cast(key.dataType).alias("key"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
 
 def dedup(
