@@ -23,7 +23,8 @@ def with_length(docs: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that the toxicity score rejects go."""
     model = toxicity.learn(docs, table(spark, folder, "labels").select("doc_id", "toxic"))
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    scored = toxicity.score(docs, model, score_as="__score", predicted_as="__predicted")
+    return scored.where("__predicted = 0").drop("__score", "__predicted")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -38,15 +39,16 @@ def cut_benchmark(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 
 def redact_personal(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Personal data is replaced by the name of its kind."""
-    return with_length(pii.redact(docs)).select(*docs.columns)
+    return with_length(pii.redact(docs))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Token ids (packed, little-endian unsigned 32-bit), their number, and the text decoded from them."""
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = bpe.round_trip(docs, ranks, pattern)
+    docs = docs.drop("n_tokens", "ids")
+    coded = bpe.round_trip(docs, ranks, pattern, decoded="__decoded")
     return coded.select(
-        *(F.decode("decoded", "UTF-8").alias("text") if c == "text" else F.col(c) for c in docs.columns),
+        *(F.decode("__decoded", "UTF-8").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns),
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         "ids",
     )

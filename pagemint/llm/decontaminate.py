@@ -11,8 +11,8 @@ but no bound is assumed: they are read in blocks of at most ``block_words`` word
 word in each task), and a document passes all blocks, so the result does not depend on the blocks. No shuffle.
 
 Defined cases: null or wordless texts have no words and no hits; wordless items have no window; items with equal ids
-count once; repeated documents give equal rows; other columns pass through, even when named like the operator's own
-internals (outputs that clash are refused by name); texts are streamed whole.
+count once; repeated documents give equal rows; other columns pass through, those named like an output are replaced;
+texts are streamed whole.
 """
 
 from __future__ import annotations
@@ -147,9 +147,7 @@ def scan(
     block_words: int = 200_000,
 ) -> DataFrame:
     """Add n_words, hit_spans (array of word spans [start, end)), hit_items (sorted ids), longest_match."""
-    added = {"n_words", "hit_spans", "hit_items", "longest_match"}
-    if clash := added & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} are outputs; rename them first")
+    docs = docs.drop("n_words", "hit_spans", "hit_items", "longest_match")
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType(
         [

@@ -11,7 +11,7 @@ block leaves its row: the corpus is read twice (word counts, then the join) and
 Base phrases are counted besides: places where the words of a phrase stand consecutively.
 
 Defined cases: null, empty and wordless texts have no words, places or labels and score 0; repeated rows give equal
-results; no text is cut; other columns pass through, and a clash with an output name is refused; without documents all
+results; no text is cut; other columns pass through, those named like an output are replaced; without documents all
 template words count zero and the order falls back to the alphabet.
 """
 
@@ -97,8 +97,6 @@ def scan(
     score: the largest containment of a template that is met; without one, 0.5 for a base phrase, else 0.
     """
     added = {"n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"}
-    if clash := added & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} are outputs; rename them first")
     order = {w: i for i, w in enumerate(word_order(docs, text, templates))}
     sets = [sorted({order[w] for w in t.split()}) for t, _ in templates]
     need = [math.ceil(containment * len(s)) for s in sets]
@@ -166,7 +164,7 @@ def scan(
     best = F.array_max(F.transform("__l.met", lambda m: m["share"]))
     worked = docs.withColumn("__l", let(normal(column), whole))
     return worked.select(
-        *docs.columns,
+        *(F.col(f"`{c}`") for c in docs.columns if c not in added),
         F.col("__l.n_words").alias("n_words"),
         n_base.alias("n_base"),
         F.array_min(F.transform("__l.places", lambda p: p["first"])).alias("first_word"),

@@ -8,7 +8,7 @@ Score of a span: 0.5, plus 0.3 if a checksum confirmed it, plus 0.2 if a word fo
 before it.
 
 Defined cases: a null text counts as empty and has no spans; repeated rows give equal results; texts are scanned whole;
-other columns pass through, and a clash with an output name is refused.
+other columns pass through, one named like the output is replaced.
 """
 
 from __future__ import annotations
@@ -110,10 +110,8 @@ def score(text: Column, span: Column) -> Column:
     return F.lit(0.5) + F.when(checked, 0.3).otherwise(0.0) + F.when(near, 0.2).otherwise(0.0)
 
 
-def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``pii``: array<struct<kind, start, end, value, score>> by kind and start; kind is an index into KINDS."""
-    if "pii" in docs.columns:
-        raise ValueError("column pii is an output; rename it first")
+def scan(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
+    """Add ``out``: array<struct<kind, start, end, value, score>> by kind and start; kind is an index into KINDS."""
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     scored = S.let(
         F.struct(found(whole).alias("s"), whole.alias("t")),
@@ -122,7 +120,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
             lambda s: F.struct(s["kind"], s["start"], s["end"], s["value"], score(r["t"], s).alias("score")),
         ),
     )
-    return docs.withColumn("pii", scored)
+    return docs.withColumn(out, scored)
 
 
 def redact(docs: DataFrame, text: str = "text", least_score: float = 0.5) -> DataFrame:
@@ -133,7 +131,7 @@ def redact(docs: DataFrame, text: str = "text", least_score: float = 0.5) -> Dat
     column = F.col(f"`{text}`")
     ordered = F.array_sort(
         F.transform(
-            F.filter("pii", lambda s: s["score"] >= least_score),
+            F.filter("__pii", lambda s: s["score"] >= least_score),
             lambda s: F.struct(s["start"], s["kind"], s["end"]),
         )
     )
@@ -149,5 +147,5 @@ def redact(docs: DataFrame, text: str = "text", least_score: float = 0.5) -> Dat
         )
 
     done = F.aggregate(ordered, start, cut, lambda a: F.concat(a["out"], F.substr(column, a["at"] + 1)))
-    clean = F.when(F.size("pii") > 0, done).otherwise(column)
-    return scan(docs, text).withColumn(text, clean).drop("pii")
+    clean = F.when(F.size("__pii") > 0, done).otherwise(column)
+    return scan(docs, text, "__pii").withColumn(text, clean).drop("__pii")

@@ -12,7 +12,7 @@ corpus; texts are read once for the fit (labelled rows only) and once for the sc
 
 Defined cases: null, empty and wordless texts have a zero vector and score the mean label of the sample; without labels
 every score is 0.5; null labels are not learned from; an id with two labels takes the greater; repeated rows score equally;
-other columns pass through, and a clash with an output name is refused; texts are read whole.
+other columns pass through, those named like an output are replaced; texts are read whole.
 """
 
 from __future__ import annotations
@@ -182,12 +182,13 @@ def learn(
     return model
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3) -> DataFrame:
-    """Add score (0 to 1) and predicted (1 if score >= threshold)."""
-    if clash := {"score", "predicted"} & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} are outputs; rename them first")
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    own, names = docs.columns, schema.names
+def score(
+    docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3, score_as: str = "score", predicted_as: str = "predicted"
+) -> DataFrame:
+    """Add score (0 to 1) and predicted (1 if score >= threshold), under these or other names."""
+    keep = [f for f in docs.schema.fields if f.name not in (score_as, predicted_as)]
+    schema = T.StructType([*keep, T.StructField(score_as, T.DoubleType()), T.StructField(predicted_as, T.IntegerType())])
+    own, names = [f.name for f in keep], schema.names
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

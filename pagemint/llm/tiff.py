@@ -7,7 +7,7 @@ goes through the codings and layouts by page and size, so stored forms of all ki
 
 Defined cases: null and empty payloads are padded like any other (one row of 255s); equal payloads give equal files; a
 truncated or foreign blob gives one row with ``error`` set and no samples, not a failure; a null blob gives no row;
-other columns are repeated on each page row, and a clash with an output name is refused. A file is decoded page by page.
+other columns are repeated on each page row, those named like an output are replaced. A file is decoded page by page.
 """
 
 from __future__ import annotations
@@ -301,9 +301,7 @@ def store(docs: DataFrame, text: str = "text", out: str = "media") -> DataFrame:
 
 def pages(media: DataFrame, column: str = "media") -> DataFrame:
     """One row for each page of each file: the other columns, page (from 0), its size, samples, and error if unreadable."""
-    keep = [f for f in media.schema.fields if f.name != column]
-    if clash := {f.name for f in keep} & set(PAGE.names):
-        raise ValueError(f"columns {sorted(clash)} are outputs; rename them first")
+    keep = [f for f in media.schema.fields if f.name != column and f.name not in PAGE.names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -336,7 +334,7 @@ FEATURES = T.StructType(
 
 def features(media: DataFrame, column: str = "media") -> DataFrame:
     """Add, from the samples read back: payload_bytes, payload, feature (pages, size, mean, deviation, 8-bin histogram)."""
-    fields = media.schema.fields
+    fields = [f for f in media.schema.fields if f.name not in FEATURES.names]
     names = [*(f.name for f in fields), *FEATURES.names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

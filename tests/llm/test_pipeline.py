@@ -73,6 +73,18 @@ def test_run(spark, folder):
         assert r.n_tokens == len(ids) and bytes(r.ids) == struct.pack(f"<{len(ids)}I", *ids)
 
 
+def test_extra_columns(spark, folder, tmp_path):
+    path = folder[0]
+    names = ["score", "predicted", "pii", "ids", "kept_id", "hit_spans", "count", "label", "features"]
+    docs = spark.read.parquet(f"{path}/documents.parquet").limit(40).selectExpr("*", *(f"concat('own ', doc_id) as {n}" for n in names))
+    for name, stage in P.STAGES:
+        docs.write.parquet(f"{tmp_path}/{name}")
+        docs = stage(spark, spark.read.parquet(f"{tmp_path}/{name}"), path)
+    for r in docs.collect():
+        own = {n: getattr(r, n) for n in names if n not in ("ids", "count")}
+        assert set(own.values()) == ({f"own {r.doc_id}"} if r.doc_id is not None else {None})
+
+
 def test_stage_columns(spark, folder):
     path = folder[0]
     docs = spark.read.parquet(f"{path}/documents.parquet")
