@@ -36,7 +36,7 @@ def holder(place: Column, blocks: Column) -> Column:
     smaller by more than a relative slack, so the fold runs in list order.
     """
     whole = total(F.transform(place, area))
-    covered = lambda b: total(F.transform(place, lambda p: area(intersection(p, b["bbox"])))) / whole
+    covered = lambda b: total(F.transform(place, lambda p: area(intersection(p, b["bbox"])))) / F.nullif(whole, F.lit(0.0))
     fitting = F.filter(blocks, lambda b: covered(b) >= MIN_COVER - SLACK)
     first = F.when(F.size(fitting) > 0, F.get(fitting, F.lit(0)))
     smaller = lambda best, b: F.when(area(b["bbox"]) < area(best["bbox"]) * (1 - SLACK), b).otherwise(best)

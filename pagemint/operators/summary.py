@@ -132,7 +132,7 @@ def coverage(pages: DataFrame, predictions: DataFrame) -> DataFrame:
         F.count_if(F.col("cause").isNull()).alias("scored"),
         *(F.count_if(F.col("cause") == c).alias(f"failed_{c}") for c in ("system", "unusable", "no_answer", "not_scored")),
     )
-    return counted.withColumn("coverage", F.col("scored") / F.col("pages"))
+    return counted.withColumn("coverage", F.try_divide("scored", "pages"))
 
 
 def as_json(rows: DataFrame) -> dict:

@@ -70,7 +70,8 @@ def counts_sql(name: str, passed: str) -> str:
 
 
 def document_counts(spark: SparkSession, folder: str, passed: str = "quality = 1") -> DataFrame:
-    return summary.document_counts(summary.page_counts(verdicts(spark, folder, passed)))
+    # a few rows for each document and key, read several times by the statistics
+    return summary.document_counts(summary.page_counts(verdicts(spark, folder, passed))).persist()
 
 
 @query(
