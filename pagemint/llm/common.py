@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -41,10 +42,29 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Scratch tables that this driver has written. They outlive the DataFrames made from them and go when the driver ends.
+WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def remove_scratch() -> None:
+    """Delete the scratch tables; a driver whose JVM has gone already leaves them to whoever cleans the shared folder."""
+    while WRITTEN:
+        spark, path = WRITTEN.pop()
+        try:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(place, True)
+        except Exception:
+            return
+
+
+atexit.register(remove_scratch)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts the lineage, and what was lost is not recomputed."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    WRITTEN.append((spark, path))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
