@@ -37,6 +37,16 @@ def test_visible(html, text):
     assert " ".join(views.visible(html).split()) == text
 
 
+def test_located():
+    page = '<p>A&amp;B <img alt="pic"></p><ol><li>x</li></ol><b>end</b><sup>1</sup>'
+    text, places = views.located(page)
+    assert text == views.visible(page) and len(places) == len(text)
+    at = lambda s: page[slice(*places[text.index(s)])]
+    assert at("A") == "A" and at("&") == "&amp;" and at("pic") == '<img alt="pic">' and at("end") == "e"
+    for html in ("", "plain", "<b>", "a<br>b", "&nosuch;", "<math>x</math>"):
+        assert views.located(html)[0] == views.visible(html)
+
+
 def test_views_without_alt_and_notes():
     assert views.visible('a<img alt="pic">b', alt=False).split() == ["a", "b"]
     assert views.visible("Smith<sup>1</sup> and 10<sup>5</sup>", notes=False).split() == ["Smith", "and", "10", "5"]
