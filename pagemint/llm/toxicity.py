@@ -156,7 +156,7 @@ class Scorer:
 
     def hits(self, text: str | None) -> dict[bytes, tuple[float, int]]:
         ws, cache, found = set(words(text)), self.cache, {}
-        if len(cache) > 60_000:
+        if len(cache) > 150_000:
             cache.clear()
         for w in ws:
             hit = cache.get(w)
