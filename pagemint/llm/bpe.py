@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from pagemint.llm.common import slices
 
 #: Pre-tokens kept with their ids in each task; emptied when full.
-CACHE = 150_000
+CACHE = 60_000
 
 
 def byte_chars() -> list[str]:
