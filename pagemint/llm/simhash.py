@@ -1,20 +1,20 @@
-"""SimHash near-dedup with multi-index hashing.
+"""SimHash near-dedup with multi-index hashing, and near copies by the exact similarity of shingle sets.
 
 A fingerprint bit is set where over half of a text's word shingles have it set in their hash. Fingerprints within a small
 distance are found by an index over segments of the fingerprint: each is filed under every value of a small Hamming ball
 within each segment, so two that differ little share a value; what shares a value is then verified by the complete
 distance. Equal fingerprints are one entry, whatever the number of their documents.
 
-Two forms of the index:
-
-* ``close_pairs`` (64 bits, distance 2 at most, two segments): the ball of radius 1 within a segment is filed together with
+``close_pairs`` (64 bits, distance 2 at most, two segments): the ball of radius 1 within a segment is filed together with
   the exact rest of the fingerprint. Two fingerprints at distance 2 or less always share such a value, and a value has at
   most 65 entries, whatever the data: no bucket can grow hot, and links are exact. (A plain segment bucket would hold
   every fingerprint with that segment, which for a large group of near copies means all pairs of the group.)
-* ``similar_pairs`` (many 24-bit segments, a large distance): filed under exact segments (a ball of radius 0). A bucket may
-  be large, so its entries are not paired with each other but with up to four representatives (least and greatest by id
-  and by hash); pairs are then verified. Cost grows with entries, not pairs. Near copies share many buckets, so missing
-  one pair in one bucket loses no link in practice; recall is measured in the tests.
+``keep_one`` (similarity of shingle sets) is an exact set-similarity join, since fingerprints only estimate similarity: all
+shingles have one order, rarest first; two sets of Jaccard J or more share a shingle of their prefixes, the first few in
+that order. What a large group shares (a template) is frequent and comes last, so it fills no prefix bucket. Pairs in a
+bucket pass length and positional filters and are verified by the sets themselves; no bucket is cut. Stars to two entries of
+each bucket come first, and only entries that verified stars have not joined are paired. Equal sets (a digest of 64 bits)
+are one entry.
 
 Defined cases: a null, empty or blank text has no shingles and fingerprint zero, which links like any other; fewer words
 than a shingle give one shingle of them all; repeated rows are copies; null ids are kept and are never the least id of a
@@ -36,7 +36,9 @@ from pagemint.llm.common import LOWER, UPPER, slices, stored
 from pagemint.llm.components import components
 
 LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
-SEGMENT_BITS = 24
+#: Shingles are counted in so many cells, to order them by how many texts hold them.
+CELLS = 1 << 17
+EPSILON = 1e-6
 #: A text's hashes are worked through in blocks of this many: bounded memory for texts of any length.
 BLOCK = 255 * 64
 
@@ -125,54 +127,124 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     return prints.join(named, "fingerprint").select(F.col("id").alias(doc_id), "fingerprint", "component")
 
 
-def signatures(docs: DataFrame, doc_id: str, text: str, shingle: int, segments: int) -> DataFrame:
-    """(id, text_hash, segments array<int> of 24 bits each) of each row."""
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, in order."""
+    parts = list(shingle_hashes(text, size))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def digest(hashes: np.ndarray) -> int:
+    """64 bits that stand for a set of shingles."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes(), 7)).view(np.int64))
+
+
+def set_prints(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
+    """(id, text_hash, entry, cell, n): a row for each of ``docs``; and, with a cell, how many shingles fell into it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = 1 << np.arange(SEGMENT_BITS - 1, -1, -1)
+        cells = np.zeros(CELLS, np.int64)
+        id_type = None
         for batch in slices(batches):
-            got = [
-                signature(t.as_py(), shingle, segments * SEGMENT_BITS).reshape(segments, SEGMENT_BITS).astype(np.int64) @ weights
-                for t in batch.column("text")
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("text_hash"), pa.array([g.tolist() for g in got], pa.list_(pa.int32()))], names
-            )
+            entries, id_type = [], batch.column("id").type
+            for t in batch.column("text"):
+                hashes = shingle_set(t.as_py(), shingle)
+                entries.append(digest(hashes))
+                np.add.at(cells, (hashes % np.uint64(CELLS)).astype(np.int64), 1)
+            empty = [pa.nulls(len(batch), t) for t in (pa.int32(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_hash"), pa.array(entries, pa.int64()), *empty], names)
+        held = np.flatnonzero(cells)
+        for at in range(0, len(held), 10_000):
+            part = held[at : at + 10_000]
+            empty = [pa.nulls(len(part), t) for t in (id_type, pa.int64(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*empty, pa.array(part, pa.int32()), pa.array(cells[part], pa.int64())], names)
 
     bare = docs.select(
         F.col(f"`{doc_id}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"), F.col(f"`{text}`").alias("text")
     )
-    fields = [bare.schema["id"], bare.schema["text_hash"], T.StructField("segments", T.ArrayType(T.IntegerType()))]
-    schema = T.StructType(fields)
+    kinds = [("text_hash", T.LongType()), ("entry", T.LongType()), ("cell", T.IntegerType()), ("n", T.LongType())]
+    schema = T.StructType([T.StructField("id", bare.schema["id"].dataType), *(T.StructField(k, t) for k, t in kinds)])
     names = schema.names
     return bare.mapInArrow(run, schema)
 
 
-def distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+def prefix_tokens(docs: DataFrame, text: str, shingle: int, similarity: float, cells: np.ndarray) -> DataFrame:
+    """(token, entry, size, place) of each text's prefix: the shingles that come first in the order of all shingles.
 
+    Any one order of all shingles gives the same links; that of ``cells`` puts those first that few texts hold.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(cells)
 
-def similar_pairs(entries: DataFrame, most: int) -> DataFrame:
-    """Verified links (a, b) among ``entries`` (entry, segments), one row for each distinct signature."""
-    rows = entries.select("entry", F.posexplode("segments").alias("place", "value")).select(
-        F.col("place").bitwiseAND(255).alias("place"), "value", "entry", F.xxhash64("place", "entry").alias("order")
-    )
-    by_order = F.struct("order", "entry")
-    chosen = stored(
-        rows.groupBy("place", "value")
-        .agg(
-            F.count("*").alias("n"),
-            F.array(F.min("entry"), F.max("entry"), F.min(by_order)["entry"], F.max(by_order)["entry"]).alias("chosen"),
-        )
-        .where("n > 1")
-        .select("place", "value", F.array_distinct("chosen").alias("chosen")),
-        "representatives",
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in slices(batches):
+            columns = [[], [], [], []]
+            for t in batch.column("text"):
+                hashes = shingle_set(t.as_py(), shingle)
+                n = len(hashes)
+                order = np.lexsort((hashes, counts[(hashes % np.uint64(CELLS)).astype(np.int64)]))
+                prefix = hashes[order[: n - int(np.ceil(similarity * n - EPSILON)) + 1]].view(np.int64)
+                cells_of = prefix, np.full(len(prefix), digest(hashes)), np.full(len(prefix), n), np.arange(len(prefix))
+                for column, x in zip(columns, cells_of):
+                    column.append(x)
+            arrays = [pa.array(np.concatenate(c) if c else np.zeros(0), t) for c, t in zip(columns, types)]
+            yield pa.RecordBatch.from_arrays(arrays, names)
+
+    types, names = [pa.int64(), pa.int64(), pa.int32(), pa.int32()], ["token", "entry", "size", "place"]
+    return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "token long, entry long, size int, place int")
+
+
+def may_link(x: str, y: str, similarity: float) -> Column:
+    """Whether two texts (x not the smaller one) whose first common shingle is this one can reach the similarity."""
+    sizes = F.col(f"{x}.size") + F.col(f"{y}.size")
+    least = sizes * F.lit(similarity / (1 + similarity)) - EPSILON
+    rest = F.least(F.col(f"{x}.size") - F.col(f"{x}.place"), F.col(f"{y}.size") - F.col(f"{y}.place"))
+    indexed = F.col(f"{y}.size") - F.ceil(F.col(f"{y}.size") * F.lit(2 * similarity / (1 + similarity)) - EPSILON) + 1
+    return (F.col(f"{y}.place") < indexed) & (rest >= least)
+
+
+def linked(pairs: DataFrame, best: DataFrame, docs: DataFrame, doc_id: str, text: str, shingle: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets of shingles have the similarity, by comparing the sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [shingle_set(t.as_py(), shingle).view(np.int64) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("entry"), pa.array(sets, pa.list_(pa.int64()))], ["entry", "hashes"])
+
+    pairs = stored(pairs, "pairs")
+    named = pairs.select(F.col("a").alias("entry")).union(pairs.select("b")).distinct().join(best, "entry")
+    bare = docs.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").alias("text"))
+    same = F.col("__id").eqNullSafe(F.col("best.id")) & (F.xxhash64("text") == F.col("best.text_hash"))
+    sets = bare.join(named, same).select("entry", "text").mapInArrow(run, "entry long, hashes array<long>")
+    sets = stored(sets, "sets")
+    left = sets.select(F.col("entry").alias("a"), F.col("hashes").alias("x"))
+    right = sets.select(F.col("entry").alias("b"), F.col("hashes").alias("y"))
+    least = (F.size("x") + F.size("y")) * F.lit(similarity / (1 + similarity)) - EPSILON
+    met = pairs.join(left, "a").join(right, "b").where(F.size(F.array_intersect("x", "y")) >= least)
+    return stored(met.select("a", "b").distinct(), "met")
+
+
+def similar_links(
+    docs: DataFrame, best: DataFrame, cells: np.ndarray, doc_id: str, text: str, shingle: int, similarity: float
+) -> DataFrame:
+    """Links (a, b) that join all entries that chains of pairs of at least ``similarity`` join."""
+    rows = stored(prefix_tokens(docs, text, shingle, similarity, cells), "prefixes")
+    ends = rows.groupBy("token").agg(F.min("entry").alias("first"), F.max("entry").alias("last")).where("first <> last")
+    shared = stored(rows.join(stored(ends, "ends"), "token").distinct(), "shared")
+    # stars first: what they join needs no pairs among itself
+    ends_of = F.explode(F.array("first", "last"))
+    stars = shared.select("entry", ends_of.alias("other")).where("entry <> other")
+    stars = stars.select(F.least("entry", "other").alias("a"), F.greatest("entry", "other").alias("b")).distinct()
+    first = linked(stars, best, docs, doc_id, text, shingle, similarity)
+    roots = stored(components(first), "roots")
+    placed = shared.join(roots, shared.entry == roots.node, "left").select(
+        "token", "entry", "size", "place", F.coalesce("root", "entry").alias("root")
     )
-    met = rows.join(chosen, ["place", "value"]).select("entry", F.explode("chosen").alias("other")).where("entry <> other")
-    pairs = met.select(F.least("entry", "other").alias("a"), F.greatest("entry", "other").alias("b")).distinct()
-    left = entries.select(F.col("entry").alias("a"), F.col("segments").alias("sa"))
-    right = entries.select(F.col("entry").alias("b"), F.col("segments").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").where(distance(F.col("sa"), F.col("sb")) <= most).select("a", "b")
+    placed = stored(placed, "placed")
+    x, y = placed.alias("x"), placed.alias("y")
+    ordered = F.struct("x.size", "x.entry") > F.struct("y.size", "y.entry")
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & ordered & may_link("x", "y", similarity))
+    pairs = met.select(F.col("x.entry").alias("a"), F.col("y.entry").alias("b")).distinct()
+    return first.unionByName(linked(pairs, best, docs, doc_id, text, shingle, similarity))
 
 
 def keep_one(
@@ -181,23 +253,20 @@ def keep_one(
     text: str = "text",
     shingle: int = 5,
     similarity: float = 0.8,
-    segments: int = 64,
 ) -> DataFrame:
     """``docs`` less near copies: of each group one row stays, that of the least id.
 
-    Similarity is that of the sets of word shingles (Jaccard). Two sets of one size at Jaccard J have cosine 2J / (1 + J), and
-    a fingerprint bit differs with probability acos(cosine) / pi; pairs whose share of differing bits is at most that link.
+    A group is what chains of pairs join whose sets of hashed word shingles have at least this Jaccard similarity.
     """
-    bits = segments * SEGMENT_BITS
-    most = int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    signed = stored(signatures(docs, doc_id, text, shingle, segments), "signatures")
-    # the least id of each signature stands for it; rows without an id stand after those with one
-    best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash"))
-    entries = stored(
-        signed.groupBy("segments").agg(best.alias("best")).withColumn("entry", F.monotonically_increasing_id()),
-        "entries",
-    )
-    roots = components(similar_pairs(entries.select("entry", "segments"), most))
+    prints = stored(set_prints(docs, doc_id, text, shingle), "prints")
+    cells = np.zeros(CELLS, np.int64)
+    for r in prints.where("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        cells[r["cell"]] = r["n"]
+    signed = prints.where("cell is null").select("id", "text_hash", "entry")
+    # the least id of each set stands for it; rows without an id stand after those with one
+    least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash"))
+    entries = stored(signed.groupBy("entry").agg(least.alias("best")), "entries")
+    roots = components(similar_links(docs, entries, cells, doc_id, text, shingle, similarity))
     kept = (
         entries.join(roots, entries.entry == roots.node, "left")
         .groupBy(F.coalesce("root", "entry").alias("root"))

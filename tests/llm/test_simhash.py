@@ -108,3 +108,53 @@ def test_long_text_blocks():
     text = " ".join(str(i % 977) for i in range(3 * simhash.BLOCK))
     got = int(np.packbits(simhash.signature(text, 3, 64)).view(">u8")[0])
     assert got == brute_print(text)
+
+
+def brute_groups(texts, similarity):
+    sets = {}
+    for i, t in texts.items():
+        w = t.split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    root = {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in texts:
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= similarity * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return sorted({find(i) for i in texts})
+
+
+def test_keep_one_in_template_group(spark):
+    rng = random.Random(21)
+    new = lambda n: [f"u{rng.getrandbits(40)}" for _ in range(n)]
+    template, texts = new(160), []
+    for i in range(300):  # mutual similarity about 0.67
+        own = template + new(40)
+        texts.append(own)
+        if i < 120:  # a partner at 0.78 to 0.9
+            texts.append(own[: 200 - (n := rng.randint(10, 24))] + new(n))
+    for i in range(40):  # edits in several places, and chains
+        base = new(rng.randint(3, 120))
+        for _ in range(4):
+            base = list(base)
+            base[rng.randrange(len(base))] = "changed"
+            texts.append(base)
+    rng.shuffle(texts)
+    texts = {i: " ".join(t) for i, t in enumerate(texts)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == brute_groups(texts, 0.8)
+
+
+def test_keep_one_repeated_line(spark):
+    rng = random.Random(22)
+    line = " ".join(f"line{i}" for i in range(14))
+    texts = [" ".join([f"a{rng.getrandbits(40)}" for _ in range(100)] + [line] * 20) for _ in range(2)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert simhash.keep_one(df).count() == 2
