@@ -122,3 +122,13 @@ def test_joined(spark):
         F.sha2(S.joined(F.col("pii"), pii.KINDS), 256).alias("h")
     ).collect()
     assert row.h == hashlib.sha256(b"email:0:6").hexdigest()
+
+
+def test_iban_before_capitals_and_digits(spark):
+    one, two, three = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    want = {
+        f"pay to {one} Thanks": one, f"{two} BIC COBADEFFXXX": two, f"{three} Please": three, f"{two} 12 x": two,
+        f"({one} A)": one, f"{two} {three}": (two, three), f"{one}7": (), f"x {three}": three, "DE88 3704 0044 0532 0130 00 BIC": (),
+    }
+    got = {r.text: [s.value for s in r.pii if s.kind == 4] for r in pii.scan(spark.createDataFrame([(t,) for t in want], "text string")).collect()}
+    assert got == {t: [v] if isinstance(v, str) else list(v) for t, v in want.items()}
