@@ -58,6 +58,14 @@ def fold_any(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", fold.fold_udf("text").alias("folded"))
 
 
+@query("fold_documents", None)
+def fold_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document: plain texts natively, all others by the whole rule set, which no SQL states; a null text stays null."""
+    text = F.col("text")
+    folded = F.when(fold.is_plain(text), fold.fold_column(text)).when(text.isNotNull(), fold.fold_udf(text))
+    return table(spark, folder, "documents").select("doc_id", folded.alias("folded"))
+
+
 def page_tests(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pages, predictions and present tests: each page's first words of its heading, and those of the next page's."""
     pages = table(spark, folder, "pages").select(
