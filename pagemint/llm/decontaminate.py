@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemint.llm.common import slices, words
+from pagemint.llm.common import slices, stored, words
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -222,26 +222,78 @@ def remove(
 ) -> DataFrame:
     """Documents with hit spans cut out of ``text``; those with more than ``max_coverage`` of their words hit are dropped.
 
-    A cut that brings words of another window together is cut again, so no window is left within a block of items.
+    Coverage is that of the whole text by the items of all blocks. A cut that brings words of another window together is cut
+    again, so no window is left; results do not depend on the blocks.
     """
-    for automaton in blocks(items, item_id, item_text, window, block_words):
-        shared = docs.sparkSession.sparkContext.broadcast(automaton)
+    automata = blocks(items, item_id, item_text, window, block_words)
+    if len(automata) > 1:
+        return removed_by_rounds(docs, automata, text, max_coverage)
+    shared = docs.sparkSession.sparkContext.broadcast(automata[0])
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            find = shared.value.scan
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = shared.value.scan
+        for batch in slices(batches):
+            texts, keep = batch.column(text).to_pylist(), []
+            for i, t in enumerate(texts):
+                ws = words(t)
+                spans = find(ws)[0]
+                keep.append(not ws or sum(b - a for a, b in spans) <= max_coverage * len(ws))
+                while spans:
+                    texts[i] = t = without(t, spans)
+                    spans = find(words(t))[0]
+            k = batch.schema.get_field_index(text)
+            yield batch.set_column(k, batch.schema.field(k), pa.array(texts, batch.schema.field(k).type)).filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def removed_by_rounds(docs: DataFrame, automata: list[Automaton], text: str, max_coverage: float) -> DataFrame:
+    """``remove`` for items of several blocks: each round gathers the spans of all blocks, one automaton at a time, and cuts once."""
+    span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+    spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    own, marked_names, cut_names = docs.columns, [*docs.columns, "__spans"], [*docs.columns, "__cut"]
+    marked = T.StructType([*docs.schema.fields, T.StructField("__spans", span)])
+    cut = T.StructType([*docs.schema.fields, T.StructField("__cut", T.BooleanType())])
+    shared = [docs.sparkSession.sparkContext.broadcast(a) for a in automata]
+
+    def cut_once(rows: DataFrame, limit: float) -> DataFrame:
+        for k, one in enumerate(shared):
+
+            def mark(batches: Iterator[pa.RecordBatch], one=one, first=k == 0) -> Iterator[pa.RecordBatch]:
+                for batch in slices(batches):
+                    got = [one.value.scan(words(t.as_py()))[0] for t in batch.column(text)]
+                    if not first:
+                        before = batch.column("__spans").to_pylist()
+                        got = [merged([*a, *((x["start"], x["end"]) for x in b)]) for a, b in zip(got, before)]
+                    got = pa.array([[{"start": a, "end": b} for a, b in s] for s in got], spans_type)
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), got], marked_names)
+
+            rows = rows.mapInArrow(mark, marked)
+
+        def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
-                texts, keep = batch.column(text).to_pylist(), []
-                for i, t in enumerate(texts):
-                    ws = words(t)
-                    spans = find(ws)[0]
-                    keep.append(not ws or sum(b - a for a, b in spans) <= max_coverage * len(ws))
-                    while spans:
-                        texts[i] = t = without(t, spans)
-                        spans = find(words(t))[0]
+                texts, keep, was_cut = batch.column(text).to_pylist(), [], []
+                for i, spans in enumerate(batch.column("__spans").to_pylist()):
+                    spans = [(x["start"], x["end"]) for x in spans]
+                    keep.append(not spans or sum(b - a for a, b in spans) <= limit * len(words(texts[i])))
+                    was_cut.append(bool(spans))
+                    if spans:
+                        texts[i] = without(texts[i], spans)
                 k = batch.schema.get_field_index(text)
-                yield batch.set_column(k, batch.schema.field(k), pa.array(texts, batch.schema.field(k).type)).filter(
-                    pa.array(keep, pa.bool_())
-                )
+                new = batch.set_column(k, batch.schema.field(k), pa.array(texts, batch.schema.field(k).type))
+                columns = [*(new.column(c) for c in own), pa.array(was_cut, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, cut_names).filter(pa.array(keep, pa.bool_()))
+
+        return stored(rows.mapInArrow(apply, cut), "cut")
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    found, limit, done = docs, max_coverage, []
+    while True:
+        rows = cut_once(found, limit)
+        done.append(rows.where("not __cut").drop("__cut"))
+        found, limit = rows.where("__cut").drop("__cut"), 1.0
+        if not found.limit(1).count():
+            break
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out

@@ -51,3 +51,20 @@ def test_remove(spark):
     assert D.remove(spark.createDataFrame(rows, "doc_id long, text string, k string").limit(0), items).count() == 0
     none = items.limit(0)
     assert D.remove(spark.createDataFrame(rows, "doc_id long, text string, k string"), none).count() == 5
+
+
+@pytest.mark.parametrize("block_words", [200_000, 10])
+def test_remove_does_not_depend_on_blocks(spark, block_words):
+    a, b, c = ("a1 a2 a3 a4 a5 a6 a7 a8", "b1 b2 b3 b4 b5 b6 b7 b8", "a5 a6 a7 a8 c1 c2 c3 c4")
+    texts = {
+        1: f"{a} x1 x2 x3 x4 {b} y1 y2 y3 y4",  # two thirds hit, by items of two blocks
+        2: f"{a} c1 c2 c3 c4 " + " ".join(f"z{i}" for i in range(30)),  # hits that overlap
+        3: f"b1 b2 b3 b4 {a} b5 b6 b7 b8 " + " ".join(f"z{i}" for i in range(30)),  # a cut that brings a window together
+        4: "z1 z2",
+    }
+    for order in ([a, b, c], [b, c, a]):
+        items = spark.createDataFrame(list(enumerate(order)), "item_id long, text string").coalesce(1)
+        docs = spark.createDataFrame([(i, t, "s") for i, t in texts.items()], "doc_id long, text string, hit_spans string")
+        got = {r.doc_id: words(r.text) for r in D.remove(docs, items, block_words=block_words).collect()}
+        z = [f"z{i}".encode() for i in range(30)]
+        assert got == {2: z, 3: z, 4: [b"z1", b"z2"]}
