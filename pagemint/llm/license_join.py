@@ -1,7 +1,8 @@
 """License scans, native: an exact set-similarity join of text blocks with license templates.
 
-A block is a line; it meets a template when it holds at least a share of the template's distinct words (containment). The
-join is that of prefix filtering: the words of all templates are ordered by how often they occur in the whole corpus,
+A block is a line, or (so that notices wrapped over lines are met) any run of consecutive words one and a half times as long
+as the template, across lines; it meets a template when it holds at least a share of the template's distinct words
+(containment). Runs are tried around each prefix word only. The join is that of prefix filtering: the words of all templates are ordered by how often they occur in the whole corpus,
 rarest first; a block that meets a template must hold one of the template's few rarest words (its prefix). Blocks are
 looked up by those words in an inverted index of the prefixes; the length filter drops blocks with too few template words,
 the positional filter those whose first shared prefix word stands so late, in the template or in the block, that too few
@@ -42,6 +43,8 @@ TEMPLATES = [
     ("this is free and unencumbered software released into the public domain", "unlicense"),
     ("all rights reserved unauthorized copying of this file is strictly prohibited", "proprietary"),
 ]
+#: Words of a run, for each word of the template: notices are worded with insertions.
+SLACK = 1.5
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -110,16 +113,22 @@ def scan(
     holds_rare = f" (?:{rare})(?= )"
     ranks = F.create_map(*[x for w, i in order.items() for x in (F.lit(w), F.lit(i))])
     lookup = F.create_map(*[x for r, ts in sorted(index.items()) for x in (F.lit(r), ints(ts))])
+    reach = [math.ceil(SLACK * len(t.split())) for t, _ in templates]
+    widest = max(reach, default=1)
     table = F.array(
         *[
-            F.struct(ints(s).alias("words"), ints(p).alias("prefix"), F.lit(n).alias("need"), F.lit(label).alias("label"))
-            for s, p, n, (_, label) in zip(sets, prefixes, need, templates)
+            F.struct(
+                ints(s).alias("words"), ints(p).alias("prefix"), F.lit(n).alias("need"), F.lit(label).alias("label"), F.lit(r).alias("reach")
+            )
+            for s, p, n, (_, label), r in zip(sets, prefixes, need, templates, reach)
         ]
     )
 
+    def known(ws: Column) -> Column:
+        return F.transform(ws, lambda w: F.try_element_at(ranks, w))
+
     def block(line: Column) -> Column:
-        known = F.transform(F.split(F.trim(line), " "), lambda w: F.try_element_at(ranks, w))
-        return F.array_sort(F.array_distinct(F.filter(known, lambda r: r.isNotNull())))
+        return F.array_sort(F.array_distinct(F.filter(known(F.split(F.trim(line), " ")), lambda r: r.isNotNull())))
 
     def candidates(b: Column) -> Column:
         """Templates that share a prefix word with the block."""
@@ -141,12 +150,42 @@ def scan(
             lambda t: F.struct(t["label"].alias("label"), (F.size(F.array_intersect(t["words"], b)) / F.size(t["words"])).alias("share")),
         )
 
+    def around(near: Column, at: Column) -> Column:
+        """struct<label, share> of the templates met by a run of words that holds the prefix word at ``at`` of ``near``."""
+        own = F.transform(F.coalesce(F.try_element_at(lookup, near[at]), ints([])), lambda i: F.element_at(table, i + 1))
+
+        def best(t: Column) -> Column:
+            starts = F.sequence(F.greatest(at - t["reach"] + 1, F.lit(0)), at)
+            return F.array_max(F.transform(starts, lambda s: F.size(F.array_intersect(t["words"], F.slice(near, s + 1, t["reach"])))))
+
+        passing = F.filter(own, lambda t: F.size(F.array_intersect(t["words"], near)) >= t["need"])
+        rated = F.transform(passing, lambda t: F.struct(t["label"].alias("label"), best(t).alias("n"), F.size(t["words"]).alias("of"), t["need"].alias("need")))
+        return F.transform(
+            F.filter(rated, lambda m: m["n"] >= m["need"]), lambda m: F.struct(m["label"].alias("label"), (m["n"] / m["of"]).alias("share"))
+        )
+
+    def runs(n: Column) -> Column:
+        """What runs of words meet, across lines."""
+
+        def of(ws: Column) -> Column:
+            places_of = F.filter(F.transform(ws, lambda w, i: F.when(w.isin([by_rank[r] for r in sorted(index)]), i)), lambda i: i.isNotNull())
+
+            def at(i: Column) -> Column:
+                first = F.greatest(i - widest + 1, F.lit(0))
+                return let(known(F.slice(ws, first + 1, i - first + widest)), lambda near: around(near, i - first))
+
+            return F.flatten(F.transform(places_of, at))
+
+        return let(F.split(F.trim(n), " "), of)
+
     column = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     lines = F.filter(F.transform(F.split(column, "\n", -1), normal), lambda s: F.rlike(s, F.lit(holds_rare)))
     nothing = F.expr("cast(array() as array<struct<label:string,share:double>>)")
 
     def whole(n: Column) -> Column:
-        found = F.when(F.rlike(n, F.lit(holds_rare)), F.flatten(F.transform(lines, lambda s: let(block(s), met)))).otherwise(nothing)
+        by_line = F.flatten(F.transform(lines, lambda s: let(block(s), met)))
+        wrapped = F.when(F.contains(column, F.lit("\n")), runs(n)).otherwise(nothing)
+        found = F.when(F.rlike(n, F.lit(holds_rare)), F.concat(by_line, wrapped)).otherwise(nothing)
         return F.struct(
             F.when(n == " ", 0).otherwise(spaces(n) - 1).cast("long").alias("n_words"),
             F.array(*[places(n, p) for p in phrases]).alias("places"),

@@ -57,3 +57,35 @@ def test_scan(spark):
 
 def test_empty(spark):
     assert L.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+WRAPPED = {
+    "x y\n# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided": "bsd",
+    "lorem\nThis program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU\n": "gpl",
+    "All rights reserved. Unauthorized copying of this file, via any medium\nis strictly prohibited": "proprietary",
+    "\n".join("Permission is hereby granted, free of charge, to any person obtaining a copy of this software".split()): "mit",
+    "All rights reserved.\n" + "ipsum\n" * 40 + "Unauthorized copying of this file": None,
+}
+
+
+def brute_runs(t, share=0.8):
+    ws, met = words(t), []
+    for template, label in L.TEMPLATES:
+        want, reach = set(template.split()), -(-3 * len(template.split()) // 2)
+        best = max((len(want & set(ws[i : i + reach])) for i in range(max(1, len(ws) - reach + 1))), default=0)
+        if best >= share * len(want) - 1e-9:
+            met.append((label, best / len(want)))
+    return met
+
+
+def test_wrapped(spark):
+    rng = random.Random(8)
+    made = ["\n".join(" ".join(rng.choices(t.split() + ["x"], k=rng.randint(1, 9))) for _ in range(9)) for t, _ in L.TEMPLATES for _ in range(8)]
+    rows = list(enumerate([*WRAPPED, *made]))
+    got = {r.doc_id: r for r in L.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for (i, t), label in zip(rows, WRAPPED.values()):
+        assert got[i].labels == ([label] if label else []), t
+    for i, t in rows:
+        by_line, runs = brute(t), brute_runs(t)
+        assert got[i].labels == sorted({*by_line[5], *(m[0] for m in runs)}), t
+        assert got[i].score == max([by_line[6], *(m[1] for m in runs)]), t
