@@ -176,7 +176,7 @@ class Marked(NamedTuple):
     any: bool  # whether some letter or digit carries a mark
 
 
-_HIDDEN = [(views._rx(views.COMMENT), ""), (views._rx(views.DOCTYPE), " "), (views._rx(views.HIDDEN), " ")]
+_HIDDEN = [(re.compile(views.COMMENT), ""), *((re.compile(p), " ") for p in views.SPACED)]
 _NO_TAG = re.compile(rf"<(?!{views.TAG[1:]})")
 
 
