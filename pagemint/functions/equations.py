@@ -113,7 +113,7 @@ def _read(html: str) -> tuple[tuple[tuple[str, ...], ...], str]:
     for s in reversed(found):
         text = f"{text[: s.start]} \0 {text[s.end :]}"
     for line in re.split(rf"[\n{views.BREAK}]", text):  # a line that is LaTeX without its delimiters
-        if "\0" not in line and mathtext.MARKUP.search(line) and mathtext.balanced(line) and not WORDS.search(line):
+        if "\0" not in line and mathtext.has_markup(line) and mathtext.balanced(line) and not WORDS.search(line):
             bodies.append(line)
     return tuple(s for s in (symbols(b, MOST_UNKNOWN) for b in bodies) if s), text
 

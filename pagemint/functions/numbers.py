@@ -56,9 +56,19 @@ def clean(text: str) -> str:
     return text.translate(_CLEAN)
 
 
-def counts_as(m: re.Match[str], number: Number) -> bool:
-    """Whether a match has the number's sign and, if it has one, its percent sign."""
-    return ((m[1] or "").strip() == "-") == number.negative and (m[2] is not None or not number.percent)
+class Printed(NamedTuple):
+    """The signs around a number's digits at one place of a text."""
+
+    negative: bool
+    percent: bool
+
+    @classmethod
+    def of(cls, m: re.Match[str]) -> Printed:
+        return cls((m[1] or "").strip() == "-", m[2] is not None)
+
+    def writes(self, number: Number) -> bool:
+        """Whether it has the number's sign and, if the number has one, its percent sign."""
+        return self.negative == number.negative and self.percent >= number.percent
 
 
 def number_column(text: Column) -> Column:

@@ -70,8 +70,7 @@ def counts_sql(name: str, passed: str) -> str:
 
 
 def document_counts(spark: SparkSession, folder: str, passed: str = "quality = 1") -> DataFrame:
-    # a few rows for each document and key, read several times by the statistics
-    return summary.document_counts(summary.page_counts(verdicts(spark, folder, passed))).persist()
+    return summary.document_counts(summary.page_counts(verdicts(spark, folder, passed)))
 
 
 @query(
@@ -143,6 +142,17 @@ def arithmetic_draws(counts: DataFrame, draws: int = 100) -> DataFrame:
     ).where("weight > 0")
 
 
+def hashed_sql(*parts: str) -> str:
+    """``statistics.hashed`` for a second engine."""
+    return "('0x' || substr(md5(" + " || ':' || ".join(parts) + "), 1, 13))::BIGINT"
+
+
+def seeded_draws_sql(source: str, draws: int, seed: int = 0) -> str:
+    weight = " + ".join(f"cast(u >= {b} AS bigint)" for b in statistics.poisson_bounds())
+    return f"""w AS (SELECT document, draw, {weight} AS weight FROM (SELECT document, draw, {hashed_sql('document', 'draw', f"'{seed}'")} AS u
+      FROM (SELECT DISTINCT document FROM {source}), range({draws}) r(draw)))"""
+
+
 def draws_sql(source: str) -> str:
     return f"""w AS (SELECT document, draw, {DRAW_WEIGHT} AS weight FROM (
       SELECT document, row_number() OVER (ORDER BY document) AS nth FROM (SELECT DISTINCT document FROM {source})), range(100) r(draw))"""
@@ -166,23 +176,24 @@ def rounded(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.withColumns({c: F.round(c, 9) for c in columns})
 
 
-@query(
-    "intervals",
-    f"""WITH {counts_sql('c', 'quality = 1')}, {draws_sql('c')}, {scores_sql('c')},
+def intervals_sql(draws_of: str, draws: int) -> str:
+    return f"""WITH {counts_sql('c', 'quality = 1')}, {draws_of}, {scores_sql('c')},
     b AS (SELECT slice, key, count(*) AS draws, quantile_cont(score, 0.025) AS low, quantile_cont(score, 0.975) AS high FROM d_c GROUP BY ALL)
-    SELECT slice, key, round(score, 9) AS score, CASE WHEN documents >= 5 AND draws >= 95 THEN round(low, 9) END AS low,
-      CASE WHEN documents >= 5 AND draws >= 95 THEN round(high, 9) END AS high, tests, documents, effective_documents, coalesce(draws, 0) AS draws
-    FROM p_c LEFT JOIN b USING (slice, key)""",
-)
+    SELECT slice, key, round(score, 9) AS score, CASE WHEN documents >= 5 AND draws >= {0.95 * draws} THEN round(low, 9) END AS low,
+      CASE WHEN documents >= 5 AND draws >= {0.95 * draws} THEN round(high, 9) END AS high, tests, documents, effective_documents, coalesce(draws, 0) AS draws
+    FROM p_c LEFT JOIN b USING (slice, key)"""
+
+
+@query("intervals", intervals_sql(draws_sql("c"), 100))
 def intervals(spark: SparkSession, folder: str) -> DataFrame:
     counts = document_counts(spark, folder)
     return rounded(statistics.intervals(counts, resamples=100, draws=arithmetic_draws(counts)), "score", "low", "high")
 
 
-@query("intervals_seeded")
+@query("intervals_seeded", intervals_sql(seeded_draws_sql("c", 1000), 1000))
 def intervals_seeded(spark: SparkSession, folder: str) -> DataFrame:
-    """1,000 draws by the seeded generator."""
-    return statistics.intervals(document_counts(spark, folder), resamples=1000, seed=0)
+    """1,000 draws by hashes."""
+    return rounded(statistics.intervals(document_counts(spark, folder), resamples=1000, seed=0), "score", "low", "high")
 
 
 @query(
@@ -246,17 +257,61 @@ def residuals(spark: SparkSession, folder: str) -> DataFrame:
     return left.select("p_partkey", F.round("residual", 6).alias("residual"))
 
 
-@query("reliability")
+SYSTEMS, SPLITS = 6, 20
+
+
+def ranks_sql(x: str, y: str, name: str) -> str:
+    """(slice, key, n, value): the median over splits of the stepped-up correlation of ranks of x and y."""
+    g = "PARTITION BY slice, key, split"
+    rank = lambda c: f"rank() OVER ({g} ORDER BY {c}) + (count(*) OVER ({g}, {c}) - 1) / 2"
+    return f"""r_{name} AS (SELECT slice, key, split, {rank(x)} AS rx, {rank(y)} AS ry FROM sides WHERE {x} IS NOT NULL AND {y} IS NOT NULL),
+    c_{name} AS (SELECT slice, key, split, greatest(-1.0, least(1.0, covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry)))) AS c
+      FROM r_{name} GROUP BY slice, key, split HAVING stddev_pop(rx) > 0 AND stddev_pop(ry) > 0),
+    {name} AS (SELECT slice, key, count(*) AS n, median(CASE WHEN c = -1 THEN -1.0 ELSE greatest(-1.0, least(1.0, 2 * c / (1 + c))) END) AS value FROM c_{name} GROUP BY slice, key)"""
+
+
+@query(
+    "reliability",
+    f"""WITH v AS ({verdicts_sql()}),
+    x AS (SELECT v.*, 's' || k AS system, passed AND {hashed_sql('test_id', 'k')} % 20 >= 2 * k AS ok FROM v, range({SYSTEMS}) s(k)),
+    kv AS ({keyed_sql()}),
+    c AS (SELECT system, slice, key, kv.document, count(*) AS tests, count(*) FILTER (ok) AS passed FROM kv JOIN x USING (test_id) GROUP BY ALL),
+    t AS (SELECT system, document, count(*) AS tests, count(*) FILTER (ok) AS passed FROM x GROUP BY ALL),
+    u AS (SELECT document, min(tests) AS tests FROM t GROUP BY document HAVING count(*) = {SYSTEMS} AND min(tests) = max(tests)),
+    o AS (SELECT document, split, row_number() OVER (PARTITION BY split ORDER BY tests, {hashed_sql('document', 'split', "'0'")}, document) - 1 AS nth FROM u, range({SPLITS}) s(split)),
+    h AS (SELECT document, split, CASE WHEN (nth + {hashed_sql('split', '(nth // 2)', "'0'")} % 2) % 2 = 0 THEN 'A' ELSE 'B' END AS half FROM o),
+    d AS (SELECT slice, key, count(*) AS documents, cast(sum(tests) AS bigint) AS tests, sum(tests) ^ 2 / sum(tests * tests) AS worth
+      FROM (SELECT slice, key, document, max(c.tests) AS tests FROM c SEMI JOIN u USING (document) GROUP BY ALL) GROUP BY slice, key),
+    ih AS (SELECT slice, key, split, half, system, sum(tests) AS n, sum(passed) AS p FROM c JOIN h USING (document) GROUP BY ALL),
+    ah AS (SELECT split, half, system, sum(tests) AS tn, sum(passed) AS tp FROM t JOIN h USING (document) GROUP BY ALL),
+    rates AS (SELECT slice, key, split, half, system, p / n AS rate, (tp - p) / nullif(tn - n, 0) AS rest FROM ih JOIN ah USING (split, half, system)),
+    e AS (SELECT *, round(rate - avg(rate) OVER g - covar_pop(rate, rest) OVER g / nullif(var_pop(rest) OVER g, 0) * (rest - avg(rest) OVER g), 12) AS residual
+      FROM rates WINDOW g AS (PARTITION BY slice, key, split, half)),
+    sides AS (SELECT slice, key, split, system, any_value(rate) FILTER (half = 'A') AS a1, any_value(rate) FILTER (half = 'B') AS b1,
+      any_value(residual) FILTER (half = 'A') AS a2, any_value(residual) FILTER (half = 'B') AS b2 FROM e GROUP BY ALL),
+    {ranks_sql('a1', 'b1', 'agree')}, {ranks_sql('a2', 'b2', 'beyond')},
+    j AS (SELECT d.slice, d.key, documents, round(worth, 1) AS effective_documents, tests,
+      CASE WHEN worth < 10 THEN 'worth less than 10 documents' WHEN tests >= (SELECT sum(tests) FROM u) THEN 'the slice is everything' END AS why,
+      coalesce(agree.n, 0) AS an, coalesce(beyond.n, 0) AS bn, agree.value AS av, beyond.value AS bv
+      FROM d LEFT JOIN agree USING (slice, key) LEFT JOIN beyond USING (slice, key)),
+    q AS (SELECT *, CASE WHEN why IS NULL AND an >= {0.8 * SPLITS} THEN av END AS agreement, CASE WHEN why IS NULL AND bn >= {0.8 * SPLITS} THEN bv END AS beyond_headline FROM j)
+    SELECT slice, key, documents, effective_documents, tests, round(agreement, 9) AS agreement, round(beyond_headline, 9) AS beyond_headline,
+      CASE WHEN why IS NULL THEN an ELSE 0 END AS agreement_splits, CASE WHEN why IS NULL THEN bn ELSE 0 END AS beyond_splits,
+      coalesce(beyond_headline < 0.7, false) AS flag,
+      CASE WHEN beyond_headline < 0.7 AND (agreement IS NULL OR agreement < 0.7) THEN 'noisy' WHEN beyond_headline < 0.7 THEN 'redundant' END AS kind,
+      coalesce(why, CASE WHEN agreement IS NULL AND beyond_headline IS NULL THEN 'agreement and beyond_headline: no value in over a fifth of the splits'
+        WHEN agreement IS NULL THEN 'agreement: no value in over a fifth of the splits'
+        WHEN beyond_headline IS NULL THEN 'beyond_headline: no value in over a fifth of the splits' END) AS reason FROM q""",
+)
 def reliability(spark: SparkSession, folder: str) -> DataFrame:
     """Six systems whose verdicts are labels turned over for ever more documents."""
-    base = verdicts(spark, folder)
-    counts = totals = None
-    for k in range(6):
-        own = base.withColumn("passed", F.col("passed") & (F.pmod(F.xxhash64("test_id", F.lit(k)), F.lit(20)) >= 2 * k))
-        mine = summary.document_counts(summary.page_counts(own)).withColumn("system", F.lit(f"s{k}"))
-        whole = own.groupBy("document").agg(F.count("*").alias("tests"), F.count_if("passed").alias("passed")).withColumn("system", F.lit(f"s{k}"))
-        counts, totals = (mine, whole) if counts is None else (counts.unionByName(mine), totals.unionByName(whole))
-    return statistics.reliability(counts, totals, splits=20)
+    k = F.explode(F.sequence(F.lit(0), F.lit(SYSTEMS - 1)))
+    own = verdicts(spark, folder).withColumn("k", k).withColumn("system", F.concat(F.lit("s"), F.col("k")))
+    own = own.withColumn("passed", F.col("passed") & (statistics.hashed(F.col("test_id"), F.col("k")) % 20 >= 2 * F.col("k")))
+    counted = F.count("*").alias("tests"), F.count_if("passed").alias("passed")
+    counts = summary.slice_keys(own).groupBy("system", "slice", "key", "document").agg(*counted)
+    totals = own.groupBy("system", "document").agg(*counted)
+    return rounded(statistics.reliability(counts, totals, splits=SPLITS), "agreement", "beyond_headline")
 
 
 #: Boxes by arithmetic on part keys: three blocks and a place of two lines for each part.

@@ -1,5 +1,6 @@
 """Readers, checks, summaries and statistics."""
 
+import hashlib
 import json
 import math
 import random
@@ -96,11 +97,11 @@ def test_intervals(spark):
     counts = summary.document_counts(summary.page_counts(df))
     got = {(r.slice, r.key): r for r in statistics.intervals(counts, resamples=100, seed=3).collect()}
     documents = sorted({r[2] for r in rows})
-    rng, draws = random.Random(3), []
-    of = {d: [(r[-1]) for r in rows if r[2] == d and r[4] == "present"] for d in documents}
-    for _ in range(100):
-        drawn = rng.choices(range(len(documents)), k=len(documents))
-        marks = [m for i in drawn for m in of[documents[i]]]
+    bounds = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(11)]
+    u = lambda d, draw: int(hashlib.md5(f"{d}:{draw}:3".encode()).hexdigest()[:13], 16) / 2**52
+    of, draws = {d: [(r[-1]) for r in rows if r[2] == d and r[4] == "present"] for d in documents}, []
+    for draw in range(100):  # Poisson weights of documents
+        marks = [m for d in documents for m in of[d] * sum(u(d, draw) >= b for b in bounds)]
         if marks:
             draws.append(sum(marks) / len(marks))
     draws.sort()
@@ -122,9 +123,9 @@ def test_paired_and_hashed(spark):
     entry = got["headline", ""]
     assert entry.gap > 0 and entry.excludes_zero and entry.documents == 12
     assert statistics.pairing(counts, worse).first().documents_mismatched == 0
-    with pytest.raises(ValueError, match="no document in common"):
+    with pytest.raises(ValueError, match="no document in both"):
         statistics.paired(counts, counts.withColumn("document", F.concat(F.lit("x"), "document")))
-    weights = statistics.hashed_draws(counts.select("document").distinct(), 500, 1)
+    weights = statistics.draws_for(counts, 500, 1)
     mean = weights.agg(F.sum("weight")).first()[0] / (12 * 500)
     assert 0.95 < mean < 1.05
 
@@ -145,8 +146,10 @@ def test_reliability(spark):
     assert got["noise"].documents == 40 and got["noise"].agreement_splits == 20
     with pytest.raises(ValueError):
         statistics.reliability(c.where("system <> 's0'").where("system <> 's1'"), t.where("system > 's1'"))
-    flags = statistics.halves([3, 1, 2], 5, 0)
-    assert len(flags) == 5 and all(set(f) <= {0, 1} for f in flags)
+    sizes = spark.createDataFrame([(f"d{i}", i // 4) for i in range(11)], "document string, tests long")
+    for balanced in (True, False):
+        halves = statistics.halves(sizes, 8, 0, balanced).toPandas()
+        assert len(halves) == 88 and set(halves.groupby("split").half.apply(lambda h: (h == "A").sum())) <= {5, 6}
 
 
 def test_stream(spark, tmp_path):
