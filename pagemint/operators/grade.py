@@ -8,14 +8,14 @@ use and shared. Layout tests are native expressions and never reach Python.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemint.functions import marks
+from pagemint.functions import equations, marks
 from pagemint.operators import layout
 from pagemint.operators.predicates import CellTest, Page, near_empty, number_found, order, repeat, text_found
 
@@ -23,93 +23,131 @@ from pagemint.operators.predicates import CellTest, Page, near_empty, number_fou
 TESTS = "test_id string, page_id string, test_type string, output_type string, derivation string, tags array<string>, args string, settings string"
 
 
-def verdict(page: Page, test_type: str, args: dict, settings: dict) -> tuple[bool, str]:
+Judge = Callable[[Page, dict, dict], tuple[bool, str]]
+#: What judges an html test, by test type: a page, the test's arguments and its settings to a verdict.
+JUDGES: dict[str, Judge] = {}
+
+
+def judge(test_type: str) -> Callable[[Judge], Judge]:
+    """Register a function as the judge of a test type; grading ships it to the executors."""
+
+    def add(f: Judge) -> Judge:
+        JUDGES[test_type] = f
+        return f
+
+    return add
+
+
+def allowed(argument: dict) -> int:
+    return argument.get("max_diffs", 0)
+
+
+@judge("present")
+def present(page: Page, args: dict, settings: dict) -> tuple[bool, str]:
+    content = args["content"]
+    if "number" in content:
+        return number_found(page, content["number"])
+    if "latex" in content:
+        return equations.found(page, content["latex"])
+    return text_found(page, content["text"], allowed(content), bool(content.get("exact_case")))
+
+
+@judge("order")
+def ordered(page: Page, args: dict, settings: dict) -> tuple[bool, str]:
+    return order(page, args["before"]["text"], args["after"]["text"], allowed(args["before"]))
+
+
+@judge("repeat")
+def repeated(page: Page, args: dict, settings: dict) -> tuple[bool, str]:
+    ((kind, text),) = [(k, v) for k, v in args["content"].items() if k in ("text", "number")]
+    return repeat(page, kind, text, settings["expected_count"])
+
+
+@judge("page_near_empty")
+def emptied(page: Page, args: dict, settings: dict) -> tuple[bool, str]:
+    return near_empty(page, settings["max_chars"])
+
+
+@judge("table_cell")
+def celled(page: Page, args: dict, settings: dict) -> tuple[bool, str]:
+    relations = {k: v["text"] for k, v in args.items() if k not in ("cell", "section", "headings", "row_groups")}
+    listed = lambda k: [x["text"] for x in args.get(k, [])]
+    section = args["section"]["text"] if "section" in args else None
+    return CellTest(args["cell"]["text"], relations, allowed(args["cell"]), listed("headings"), section, listed("row_groups")).verdict(page)
+
+
+@judge("format")
+def formatted(page: Page, args: dict, settings: dict) -> tuple[bool, str]:
+    context = [args[k]["text"] if k in args else "" for k in ("before", "span", "after")]
+    return marks.check(page.marked, *context, settings.get("marks", []), settings.get("absent", []))
+
+
+def verdict(page: Page, test_type: str, args: dict, settings: dict, judges: dict[str, Judge] = JUDGES) -> tuple[bool, str]:
     """One html test on a page."""
-    most = lambda a: a.get("max_diffs", 0)
-    if test_type == "present":
-        content = args["content"]
-        if "number" in content:
-            return number_found(page, content["number"])
-        if "latex" in content:
-            from pagemint.functions import equations
-
-            return equations.found(page, content["latex"])
-        return text_found(page, content["text"], most(content), bool(content.get("exact_case")))
-    if test_type == "order":
-        return order(page, args["before"]["text"], args["after"]["text"], most(args["before"]))
-    if test_type == "repeat":
-        ((kind, text),) = [(k, v) for k, v in args["content"].items() if k in ("text", "number")]
-        return repeat(page, kind, text, settings["expected_count"])
-    if test_type == "page_near_empty":
-        return near_empty(page, settings["max_chars"])
-    if test_type == "table_cell":
-        relations = {k: v["text"] for k, v in args.items() if k not in ("cell", "section", "headings", "row_groups")}
-        listed = lambda k: [x["text"] for x in args.get(k, [])]
-        section = args["section"]["text"] if "section" in args else None
-        return CellTest(args["cell"]["text"], relations, most(args["cell"]), listed("headings"), section, listed("row_groups")).verdict(page)
-    if test_type == "format":
-        context = [args[k]["text"] if k in args else "" for k in ("before", "span", "after")]
-        return marks.check(page.marked, *context, settings.get("marks", []), settings.get("absent", []))
-    raise ValueError(f"test type {test_type!r} is not known")
-
-
-VERDICTS = T.StructType(
-    [T.StructField("page_id", T.StringType()), T.StructField("test_id", T.StringType()), T.StructField("passed", T.BooleanType()), T.StructField("why", T.StringType())]
-)
-
-
-def html_verdicts(tests: DataFrame, predictions: DataFrame) -> DataFrame:
-    """(page_id, test_id, passed, why) of html tests; predictions are (page_id, html). No output fails a page's tests."""
-    gathered = tests.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("test_id", "test_type", "args", "settings"))).alias("tests"))
-    joined = gathered.join(predictions.select("page_id", "html"), "page_id", "left").select("page_id", "html", "tests")
+    if test_type not in judges:
+        raise ValueError(f"test type {test_type!r} is not known")
+    return judges[test_type](page, args, settings)
+
+
+OUTCOME = [T.StructField("passed", T.BooleanType()), T.StructField("why", T.StringType())]
+
+
+def html_lines(tests: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Html tests with passed and why; predictions are (page_id, html). No output fails a page's tests.
+
+    A test goes to its page with all its columns, so nothing is joined back to the verdicts.
+    """
+    gathered = tests.groupBy("page_id").agg(F.collect_list(F.struct(*[F.col(c) for c in tests.columns])).alias("tests"))
+    joined = gathered.join(predictions.select("page_id", "html"), "page_id", "left").select("html", "tests")
+    out, judges = T.StructType([*tests.schema.fields, *OUTCOME]), dict(JUDGES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for page_id, html, tests in zip(*(batch.column(c).to_pylist() for c in ("page_id", "html", "tests"))):
-                page, rows = Page(html) if html is not None else None, []
-                for t in tests:
-                    got = (False, "no html output")
-                    if page is not None:
-                        got = verdict(page, t["test_type"], json.loads(t["args"]), json.loads(t["settings"]))
-                    rows.append((page_id, t["test_id"], *got))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()),
-                     pa.array([r[2] for r in rows], pa.bool_()), pa.array([r[3] for r in rows], pa.string())], names,
-                )
-
-    names = VERDICTS.names
-    return joined.mapInArrow(run, VERDICTS)
+            got = []
+            for html, of in zip(batch.column("html").to_pylist(), batch.column("tests").to_pylist()):
+                page = Page(html) if html is not None else None
+                for t in of:
+                    if page is None:
+                        got.append((False, "no html output"))
+                    else:
+                        got.append(verdict(page, t["test_type"], json.loads(t["args"]), json.loads(t["settings"]), judges))
+            own = batch.column("tests").flatten().flatten()
+            passed, why = (pa.array([g[k] for g in got], t) for k, t in enumerate((pa.bool_(), pa.string())))
+            yield pa.RecordBatch.from_arrays([*own, passed, why], out.names)
+
+    return joined.mapInArrow(run, out)
 
 
 BLOCKS = "array<struct<label:string,bbox:array<double>,text:string>>"
 
 
-def layout_verdicts(tests: DataFrame, predictions: DataFrame) -> DataFrame:
+def layout_lines(tests: DataFrame, predictions: DataFrame) -> DataFrame:
     """The same of layout tests; predictions are (page_id, blocks). Malformed blocks fail their page's layout tests."""
-    typed = tests.select(
-        "page_id",
-        "test_id",
-        F.from_json(F.get_json_object("args", "$.content.place"), "array<array<double>>").alias("place"),
-        F.get_json_object("settings", "$.kind").alias("kind"),
+    typed = tests.withColumns(
+        {
+            "__place": F.from_json(F.get_json_object("args", "$.content.place"), "array<array<double>>"),
+            "__kind": F.get_json_object("settings", "$.kind"),
+        }
     )
-    judged = layout.layout_kind(typed.join(predictions.select("page_id", "blocks"), "page_id", "left"))
-    well_formed = layout.valid_blocks(F.col("blocks"))
+    placed = typed.join(predictions.select("page_id", F.col("blocks").alias("__blocks")), "page_id", "left")
+    judged = layout.layout_kind(placed, "__place", "__kind", "__blocks")
+    well_formed = layout.valid_blocks(F.col("__blocks"))
     return judged.select(
-        "page_id",
-        "test_id",
+        *tests.columns,
         (F.col("passed") & well_formed).alias("passed"),
-        F.when(F.col("blocks").isNull(), "no blocks output").when(~well_formed, "malformed blocks output").otherwise(F.col("why")).alias("why"),
+        F.when(F.col("__blocks").isNull(), "no blocks output").when(~well_formed, "malformed blocks output").otherwise(F.col("why")).alias("why"),
     )
 
 
 def grade(tests: DataFrame, predictions: DataFrame, pages: DataFrame) -> DataFrame:
     """Test lines: every test with its page's document and suite, passed and why.
 
-    ``predictions`` has page_id, html and blocks (either may be null), one row a page; pages without one fail.
+    ``predictions`` has page_id, html and blocks (either may be null), one row a page; pages without one fail. Everything
+    is keyed by page, so tests, pages and predictions are shuffled by it once.
     """
+    placed = tests.join(pages.select("page_id", "document", "suite"), "page_id")
     blocks = F.col("output_type") == "blocks"
-    verdicts = html_verdicts(tests.where(~blocks), predictions).unionByName(layout_verdicts(tests.where(blocks), predictions))
-    lined = tests.join(verdicts.drop("page_id"), "test_id").join(pages.select("page_id", "document", "suite"), "page_id")
+    lined = html_lines(placed.where(~blocks), predictions).unionByName(layout_lines(placed.where(blocks), predictions))
     return lined.withColumn("arg_kinds", arg_kinds(F.col("test_type"), F.col("args")))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from pagemint.operators import summary
 from pagemint.operators.grade import grade
 from pagemint.plans.registry import query
 from pagemint.plans.verdicts import table
+from pagemint.session import shared_folder
 from pagemint.sources import dataset, replies
 
 ENTITIES = {"&copy;": "©", "&middot;": "·", "&quot;": '"', "&lt;": "<", "&gt;": ">", "&amp;": "&"}
@@ -163,22 +163,6 @@ def number_parse(spark: SparkSession, folder: str) -> DataFrame:
     return read.select("o_orderkey", "printed", "n.core", flag("negative"), flag("percent"))
 
 
-@query(
-    "number_present",
-    """SELECT o_orderkey, o_orderkey % 3 = 0 AS found FROM orders""",
-)
-def number_present(spark: SparkSession, folder: str) -> DataFrame:
-    """A price is on a line that prints it, and not on lines with a digit glued to it or its separator dropped."""
-    number = F.expr("format_number(o_totalprice + 1000, 2)")
-    line = F.expr("case o_orderkey % 3 when 0 then concat('Total: $', n, ' due') when 1 then concat('Total: 1', n) else concat('Total: ', replace(n, ',', '')) end")
-    quoted = F.regexp_replace("n", r"([.,])", r"\\$1")
-    pattern = F.concat(
-        F.lit(r"(?<!\d)(?<!\d[.,])((?<!\w)-(?=[\d$€£¥])|\(\s?)?(?:[$€£¥]\s?)?"), quoted, F.lit(r"(?![.,]\d)(\s?%)?\)?(?!\d)")
-    )
-    rows = table(spark, folder, "orders").withColumn("n", number).withColumn("line", line)
-    return rows.select("o_orderkey", F.regexp_like("line", pattern).alias("found"))
-
-
 @query(
     "repeat_lines",
     """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
@@ -191,20 +175,6 @@ def repeat_lines(spark: SparkSession, folder: str) -> DataFrame:
     return copies.select("doc_id", F.md5(F.col("line").cast("binary")).alias("line"), "copies")
 
 
-@query(
-    "order_words",
-    """WITH w AS (SELECT doc_id, lower(text) AS t FROM documents)
-    SELECT doc_id, strpos(t, ' of ') > 0 AND strpos(t, ' the ') > 0 AND strpos(t, ' of ') < length(t) - strpos(reverse(t), ' eht ') - 3 AS passed FROM w""",
-)
-def order_words(spark: SparkSession, folder: str) -> DataFrame:
-    """Whether some ' of ' starts before some ' the ': the first of one against the last of the other."""
-    low = F.lower("text")
-    first = F.instr(low, " of ")
-    last = F.length(low) - F.instr(F.reverse(low), F.lit(" eht ")) - 3
-    both = (first > 0) & (F.instr(low, " the ") > 0)
-    return table(spark, folder, "documents").select("doc_id", (both & (first < last)).alias("passed"))
-
-
 def rendered_tables(spark: SparkSession, folder: str) -> DataFrame:
     """(region, html): a region's nations as a table with a heading row and the region's name over its rows."""
     nations = table(spark, folder, "nation").join(table(spark, folder, "region"), F.expr("n_regionkey = r_regionkey"))
@@ -363,8 +333,7 @@ def stream_grade(spark: SparkSession, folder: str) -> DataFrame:
     """The grader over a file stream of predictions; the same verdicts as in one batch."""
     from pagemint.streaming.grading import grade_stream
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    root = f"{root}/stream-{spark.sparkContext.applicationId}-{spark.range(1).select(F.uuid()).first()[0]}"
+    root = f"{shared_folder(spark)}/stream-{spark.sparkContext.applicationId}-{spark.range(1).select(F.uuid()).first()[0]}"
     pages, predictions, tests = page_tests(spark, folder)
     predictions.write.json(f"{root}/in")
     grade_stream(spark, f"{root}/in", f"{root}/out", f"{root}/state", tests, pages).awaitTermination()

@@ -10,6 +10,7 @@ from __future__ import annotations
 import importlib
 import json
 import time
+import uuid
 from abc import ABC, abstractmethod
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -18,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemint.session import shared_folder
+
 from pagemint.sources.dataset import BLOCK
 
 
@@ -91,14 +94,18 @@ def held(spark: SparkSession, records: str) -> DataFrame:
         return spark.createDataFrame([], RECORDS)
 
 
-def ask(pages: DataFrame, system: System, records: str, timeout: float = 900.0, tries: int = 4, wait: float = 1.0, workers: int = 8) -> int:
+def ask(pages: DataFrame, system: System, records: str, timeout: float = 900.0, tries: int = 4, wait: float = 1.0, workers: int = 8, batch: int = 256) -> int:
     """Ask about pages (page_id, content, outputs) without a record under ``records``; returns how many were left to ask.
 
-    ``workers`` partitions ask at once, whatever the number of pages: the bound is the system's, not the cluster's.
+    ``workers`` partitions ask at once, whatever the number of pages: the bound is the system's, not the cluster's. Answers
+    are stored for some ``batch`` pages at a time, so a run that is lost loses the answers of one group at most.
     """
     spark = pages.sparkSession
-    todo = pages.join(held(spark, records).select("page_id"), "page_id", "left_anti")
-    n = todo.count()
+    asked = pages.select("page_id").join(held(spark, records).select("page_id"), "page_id", "left_anti")
+    path = f"{shared_folder(spark)}/asked-{uuid.uuid4().hex}"
+    asked.write.parquet(path)
+    asked = spark.read.schema(asked.schema).parquet(path)
+    n = asked.count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,8 +116,12 @@ def ask(pages: DataFrame, system: System, records: str, timeout: float = 900.0,
                     pa.schema([("page_id", pa.string()), ("raw", pa.string()), ("error", pa.string()), ("seconds", pa.float64()), ("tries", pa.int32())]),
                 )
 
-    if n:
-        todo.select("page_id", "content", "outputs").repartition(workers).mapInArrow(run, RECORDS).write.mode("append").parquet(records)
+    groups = -(-n // batch)
+    group = F.pmod(F.xxhash64("page_id"), F.lit(max(1, groups)))
+    for g in range(groups):
+        # what earlier groups stored is left out by the group, not by what the folder holds now
+        some = pages.join(asked, "page_id", "left_semi").where(group == g)
+        some.select("page_id", "content", "outputs").repartition(workers).mapInArrow(run, RECORDS).write.mode("append").parquet(records)
     return n
 
 

@@ -1,13 +1,13 @@
 """Grading as predictions arrive: a file stream of predictions, each micro-batch graded and appended by page.
 
-An extension: a run resumes because files already graded are in the stream's checkpoint, and pages already in the sink are
-left out of a batch, so a page that is delivered twice is graded once.
+An extension: a run resumes because files already graded are in the stream's checkpoint; so are the ids of pages already
+graded, as the state of the stream, so a page that is delivered twice is graded once and the sink is never read. Each
+micro-batch has its own folder in the sink and replaces it, so a batch that is run again leaves no line twice.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pagemint.operators.grade import grade
 
@@ -18,14 +18,8 @@ def grade_stream(spark: SparkSession, source: str, sink: str, checkpoint: str, t
     """Start a query that grades JSON prediction lines under ``source`` into Parquet under ``sink``, as far as there are any."""
 
     def one(batch: DataFrame, number: int) -> None:
-        fresh = batch.dropDuplicates(["page_id"])
-        try:
-            fresh = fresh.join(batch.sparkSession.read.parquet(sink).select("page_id").distinct(), "page_id", "left_anti")
-        except Exception as e:  # nothing is graded yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        mine = tests.join(fresh.select("page_id"), "page_id", "left_semi")
-        grade(mine, fresh, pages).withColumn("batch", F.lit(number)).write.mode("append").parquet(sink)
-
-    stream = spark.readStream.schema(PREDICTIONS).json(source)
+        mine = tests.join(batch.select("page_id"), "page_id", "left_semi")
+        grade(mine, batch, pages).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    stream = spark.readStream.schema(PREDICTIONS).json(source).dropDuplicates(["page_id"])
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
