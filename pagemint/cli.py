@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pagemint.operators import statistics, summary
 from pagemint.operators.grade import grade
 from pagemint.session import local_session
 from pagemint.sources import dataset, formats
+from pagemint.sources import systems as service
 
 PREDICTION_FILES = "predictions/*.json"
 
@@ -110,6 +112,70 @@ def reread(spark, args) -> None:
         say(r.asDict(recursive=True))
 
 
+CONFIG = "config.json"
+DEFAULTS = {"timeout": 900.0, "tries": 4, "workers": 8}
+
+
+def init(spark, args) -> None:
+    """A configuration of a run with every setting, to be saved and given to ``run``."""
+    say({"system": args.system, "dataset": args.dataset} | DEFAULTS)
+
+
+def launched(spark, config: dict, folder: str, retry_failed: bool = False) -> None:
+    """Ask the system about pages without a record, read all records and grade them; pages without an output fail."""
+    unknown = set(config) - {"system", "dataset", *DEFAULTS}
+    if unknown or not {"system", "dataset"} <= set(config):
+        raise ValueError(f"a configuration has system, dataset and {', '.join(DEFAULTS)}; not {', '.join(sorted(unknown)) or 'those'}")
+    config = DEFAULTS | config
+    system = service.load(config["system"])
+    pages, found = dataset.read_manifest(spark, config["dataset"]), dataset.read_gold(spark, config["dataset"])
+    files = spark.read.format("binaryFile").load(f"{config['dataset']}/pages").select("path", "content")
+    name = F.element_at(F.split("path", "/"), -1)
+    content = files.select(name.alias("file"), "content").join(
+        pages.select("page_id", "outputs", F.element_at(F.split("doc_path", "/"), -1).alias("file")), "file"
+    )
+    records = f"{folder}/records"
+    asked = service.ask(content, system, records, config["timeout"], config["tries"], 1.0, config["workers"], retry_failed=retry_failed)
+    print(f"{asked} pages asked", file=sys.stderr)
+    answers = service.outputs(service.settled(service.held(spark, records)), system)
+    lines = grade(found.drop("errors"), answers.drop("error"), pages)
+    dataset.write_lines(lines, f"{folder}/unit_tests/details")
+    summary.page_counts(lines).write.mode("overwrite").parquet(f"{folder}/unit_tests/counts")
+    covered = rows(summary.coverage(pages, answers))[0]
+    say(summary.as_json(summary.summary(lines)) | {"coverage": covered})
+
+
+def run(spark, args) -> None:
+    """A new run of a configuration in a folder that does not exist yet."""
+    with open(args.config) as f:
+        config = json.load(f)
+    if os.path.exists(args.out):
+        raise ValueError(f"{args.out} exists already; resume goes on with a run")
+    os.makedirs(args.out)
+    with open(f"{args.out}/{CONFIG}", "w") as f:
+        json.dump(config, f)
+    launched(spark, config, args.out)
+
+
+def resume(spark, args) -> None:
+    """Go on with the run in a folder, by its own configuration."""
+    try:
+        with open(f"{args.out}/{CONFIG}") as f:
+            config = json.load(f)
+    except FileNotFoundError:
+        raise ValueError(f"{args.out} holds no run") from None
+    launched(spark, config, args.out, args.retry_failed)
+
+
+def predict(spark, args) -> None:
+    """What a system makes of one page file."""
+    system = service.load(args.system)
+    with open(args.page, "rb") as f:
+        raw, error, seconds, tries = service.answer(system, f.read(), args.outputs.split(","), args.timeout, DEFAULTS["tries"], 1.0)
+    record = spark.createDataFrame([("page", raw, error, seconds, tries)], service.RECORDS)
+    say(rows(service.outputs(record, system).drop("page_id"))[0] | {"why": error, "seconds": seconds, "tries": tries})
+
+
 def systems(spark, args) -> None:
     say({name: {"labels": form.labels, "blocks": form.blocks} for name, form in formats.FORMATS.items()})
 
@@ -145,6 +211,12 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--flagged", action="store_true")
     add("score", score, "gold", "output").add_argument("--blocks", action="store_true")
     add("reread", reread, "answers").add_argument("--format", choices=sorted(formats.FORMATS), required=True)
+    add("init", init, "system", "dataset")
+    add("run", run, "config", "out")
+    add("resume", resume, "out").add_argument("--retry-failed", action="store_true")
+    p = add("predict", predict, "system", "page")
+    p.add_argument("--outputs", default="html")
+    p.add_argument("--timeout", type=float, default=DEFAULTS["timeout"])
     add("systems", systems)
     add("vocabulary", vocabulary)
     return top

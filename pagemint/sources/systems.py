@@ -94,14 +94,16 @@ def held(spark: SparkSession, records: str) -> DataFrame:
         return spark.createDataFrame([], RECORDS)
 
 
-def ask(pages: DataFrame, system: System, records: str, timeout: float = 900.0, tries: int = 4, wait: float = 1.0, workers: int = 8, batch: int = 256) -> int:
+def ask(pages: DataFrame, system: System, records: str, timeout: float = 900.0, tries: int = 4, wait: float = 1.0, workers: int = 8, batch: int = 256, retry_failed: bool = False) -> int:
     """Ask about pages (page_id, content, outputs) without a record under ``records``; returns how many were left to ask.
 
     ``workers`` partitions ask at once, whatever the number of pages: the bound is the system's, not the cluster's. Answers
     are stored for some ``batch`` pages at a time, so a run that is lost loses the answers of one group at most.
     """
     spark = pages.sparkSession
-    asked = pages.select("page_id").join(held(spark, records).select("page_id"), "page_id", "left_anti")
+    known = held(spark, records)
+    known = known.where("error is null") if retry_failed else known
+    asked = pages.select("page_id").join(known.select("page_id"), "page_id", "left_anti")
     path = f"{shared_folder(spark)}/asked-{uuid.uuid4().hex}"
     asked.write.parquet(path)
     asked = spark.read.schema(asked.schema).parquet(path)
@@ -125,6 +127,13 @@ def ask(pages: DataFrame, system: System, records: str, timeout: float = 900.0,
     return n
 
 
+def settled(records: DataFrame) -> DataFrame:
+    """One record for each page: an answer rather than an error."""
+    own = [c for c in records.columns if c != "page_id"]
+    best = F.min_by(F.struct(*own), F.struct(F.col("error").isNotNull(), "seconds", "raw"))
+    return records.groupBy("page_id").agg(best.alias("best")).select("page_id", "best.*")
+
+
 def outputs(records: DataFrame, system: System) -> DataFrame:
     """Predictions (page_id, html, blocks, error) of records; error is the cause a report counts: system or unusable."""
 

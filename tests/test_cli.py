@@ -51,3 +51,54 @@ def test_one_page(spark, folders, tmp_path, capsys):
     assert cli.main(["reread", str(tmp_path / "answers"), "--format", "mineru"]) == 0
     assert json.loads(capsys.readouterr().out)["blocks"] == [{"label": "heading", "bbox": [0.0, 0.0, 1.0, 0.5], "text": "T"}]
     assert cli.main(["systems"]) == 0
+
+
+STUB = """
+from pagemint.sources.systems import System, SystemFailed
+import os
+
+
+class Stub(System):
+    name = "stub"
+    supports = ("html",)
+
+    def send(self, page, request, timeout):
+        if page == b"down" and not os.path.exists({flag!r}):
+            raise SystemFailed("out of order")
+        return {{"said": page.decode()}}
+
+    def parse(self, raw, request):
+        return {{"html": raw["said"]}}
+"""
+
+
+def test_run_and_resume(spark, folders, tmp_path, capsys, monkeypatch):
+    import sys
+
+    data, _ = folders
+    from pagemint.session import HERE
+
+    module = tmp_path / "stub_service.py"  # workers import it from a folder on their path
+    module.write_text(STUB.format(flag=str(tmp_path / "up")))
+    env = spark.sparkContext.environment
+    monkeypatch.setitem(env, "PYTHONPATH", f"{tmp_path}:{env.get('PYTHONPATH', HERE)}")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    (tmp_path / "pages").mkdir()
+    for i in range(6):
+        (tmp_path / "pages" / f"p{i}.pdf").write_bytes(b"down" if i == 5 else b"hello world" if i % 2 else b"hello")
+    out = lambda *argv: (cli.main(list(argv)), json.loads(capsys.readouterr().out.splitlines()[-1]))
+    _, config = out("init", "stub_service:Stub", data)
+    (tmp_path / "config.json").write_text(json.dumps(config))
+    run = str(tmp_path / "new")
+    _, got = out("run", str(tmp_path / "config.json"), run)
+    assert got["families"]["text"]["tests"] == 12 and got["families"]["text"]["score"] == 7 / 12
+    assert (got["coverage"]["scored"], got["coverage"]["failed_system"]) == (5, 1)
+    assert cli.main(["run", str(tmp_path / "config.json"), run]) == 1 and cli.main(["resume", str(tmp_path / "pages")]) == 1
+    (tmp_path / "up").write_text("")
+    _, got = out("resume", run)
+    assert got["coverage"]["scored"] == 5
+    _, got = out("resume", run, "--retry-failed")
+    assert got["coverage"]["scored"] == 6
+    _, got = out("predict", "stub_service:Stub", str(tmp_path / "pages" / "p1.pdf"))
+    assert got["html"] == "hello world" and got["error"] is None
+    sys.modules.pop("stub_service", None)
