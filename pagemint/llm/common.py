@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemint.session import shared_folder
+
 #: A-Z and a-z: contracts lower-case ASCII letters only, so ``lower`` (all of Unicode) is not used.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -30,43 +31,44 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(WORD_BYTES).split()
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one is set only where the cluster names none (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        held = spark.sparkContext.getCheckpointDir()
-        if not held:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pagemint-"))
-            held = spark.sparkContext.getCheckpointDir()
-        root = held
-    return root.rstrip("/")
-
-
 #: Scratch tables that this driver has written. They outlive the DataFrames made from them and go when the driver ends.
 WRITTEN: list[tuple[SparkSession, str]] = []
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(place, True)
+
+
 def remove_scratch() -> None:
     """Delete the scratch tables; a driver whose JVM has gone already leaves them to whoever cleans the shared folder."""
     while WRITTEN:
-        spark, path = WRITTEN.pop()
         try:
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(place, True)
+            delete(*WRITTEN.pop())
         except Exception:
             return
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete scratch tables that nothing reads any more; others are left alone."""
+    for table in tables:
+        for found in [w for w in WRITTEN if w[1] == getattr(table, "scratch_path", None)]:
+            WRITTEN.remove(found)
+            delete(*found)
+
+
 atexit.register(remove_scratch)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts the lineage, and what was lost is not recomputed."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     WRITTEN.append((spark, path))
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read.scratch_path = path
+    return read
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from pagemint.llm import simhash
@@ -61,7 +62,8 @@ def test_dedup(spark):
     assert {i: r.component for i, r in got.items()} == brute_components(prints)
 
 
-def test_ball_links_are_exact(spark):
+@pytest.mark.parametrize("most", [64, 1])
+def test_ball_links_are_exact(spark, most):
     rng = random.Random(5)
     values = [rng.getrandbits(64) for _ in range(40)]
     for v in values[:20]:
@@ -70,9 +72,11 @@ def test_ball_links_are_exact(spark):
             for b in rng.sample(range(64), d):
                 w ^= 1 << b
             values.append(w)
+    crowd = values[0]  # many that share a segment
+    values = list(dict.fromkeys(values + [crowd ^ 1 << a ^ 1 << b for a in range(12) for b in range(a + 1, 60, 7)]))
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
     df = spark.createDataFrame([(v,) for v in signed], "fingerprint long")
-    got = {r.node: r.root for r in components(simhash.close_pairs(df)).collect()}
+    got = {r.node: r.root for r in components(simhash.close_pairs(df, most)).collect()}
     want = brute_components({s: v for s, v in zip(signed, values)})
     assert {s: got.get(s, s) for s in signed} == want
 
@@ -158,3 +162,13 @@ def test_keep_one_repeated_line(spark):
     texts = [" ".join([f"a{rng.getrandbits(40)}" for _ in range(100)] + [line] * 20) for _ in range(2)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert simhash.keep_one(df).count() == 2
+
+
+def test_parity_bounds_the_difference():
+    rng = random.Random(5)
+    for _ in range(300):
+        x = np.unique(np.array([rng.getrandbits(64) for _ in range(rng.randint(0, 300))], np.uint64))
+        y = np.unique(np.concatenate((x[rng.randint(0, 40) :], np.array([rng.getrandbits(64) for _ in range(rng.randint(0, 90))], np.uint64))))
+        differ = len(np.setxor1d(x, y))
+        assert simhash.least_difference(simhash.parity(x), simhash.parity(y)) <= differ
+        assert simhash.least_difference(simhash.parity(x), simhash.parity(x)) == 0
