@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pagemint.llm import pii
 from pagemint.llm.license_join import PHRASES, TEMPLATES
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -31,15 +32,16 @@ SECRETS = " UNION ALL ".join(
         spans("access", 1, r"AKIA[A-Z0-9]{16,}", 0, "true"),
         spans("hex", 2, r"[0-9a-f]{24,}", 0, "true"),
         spans("opaque", 3, r"[A-Za-z0-9+/_-]{32,}", 0, "regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[0-9]')"),
-        spans("pem", 4, r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, "true"),
+        spans("pem", 4, r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----\s*((?:[A-Za-z-]+: [^\n]*\n\s*)*[A-Za-z0-9+/=\s]*)", 1, "length(regexp_replace(value, '\\s', '', 'g')) >= 32"),
     ]
 )
 OP2 = f"""WITH {TEXTS}, s AS ({SECRETS}),
-  o AS (SELECT value, count(DISTINCT source) AS owners FROM s JOIN texts USING (doc_id) GROUP BY value),
-  j AS (SELECT s.*, owners FROM s JOIN o USING (value)),
+  k AS (SELECT * REPLACE (CASE WHEN number = 4 THEN regexp_replace(value, '\\s', '', 'g') ELSE value END AS value) FROM s),
+  o AS (SELECT value, count(DISTINCT source) AS owners, count(DISTINCT source || '/' || lang) AS repositories FROM k JOIN texts USING (doc_id) GROUP BY value),
+  j AS (SELECT k.*, owners <= 1 AND repositories <= 3 AS live FROM k JOIN o USING (value)),
   d AS (SELECT doc_id, count(*) FILTER (number = 0) AS n_assign, count(*) FILTER (number = 1) AS n_access, count(*) FILTER (number = 2) AS n_hex,
-    string_agg({SAID}, ',' ORDER BY start, number) FILTER (number < 3) AS base, string_agg({SAID}, ',' ORDER BY start, number) FILTER (number < 3 OR owners <= 1) AS spans,
-    count(*) FILTER (owners <= 1) AS n_live, count(*) FILTER (owners > 1) AS n_copied FROM j GROUP BY doc_id)
+    string_agg({SAID}, ',' ORDER BY start, number) FILTER (number < 3) AS base, string_agg({SAID}, ',' ORDER BY start, number) FILTER (number < 3 OR live) AS spans,
+    count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied FROM j GROUP BY doc_id)
   SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
     coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied FROM texts t LEFT JOIN d USING (doc_id)"""
 
@@ -57,20 +59,26 @@ PERSONAL = " UNION ALL ".join(
         spans("phone", 3, r"\+[0-9][\x20().0-9-]+[0-9]", 0, f"length({DIGITS}) BETWEEN 9 AND 15"),
     ]
 )
-NEAR = " OR ".join(
-    f"(kind = '{k}' AND regexp_matches(substr(t, greatest(start - 40, 0) + 1, least(start, 40)), '{p}'))"
-    for k, p in (
-        ("email", r"(?i)\b(?:e-?mail|mail|contact|write|reach)\b"),
-        ("ip", r"(?i)\b(?:ip|host|server|address|client)\b"),
-        ("card", r"(?i)\b(?:card|credit|debit|visa|payment|cc)\b"),
-        ("phone", r"(?i)\b(?:phone|tel|call|mobile|fax|dial)\b"),
-    )
-)
-#: IBANs are left out: the driver's tables hold none, and their edges need lookaround.
-OP3 = f"""WITH {TEXTS}, s AS ({PERSONAL}), j AS (SELECT s.*, 0.5 + CASE WHEN kind = 'card' THEN 0.3 ELSE 0.0 END + CASE WHEN {NEAR} THEN 0.2 ELSE 0.0 END AS score FROM s JOIN texts USING (doc_id)),
+BARE = "replace(m, ' ', '')"
+TURNED = f"(substr({BARE}, 5) || substr({BARE}, 1, 4))"
+NUMBERS = f"list_transform(string_split({TURNED}, ''), lambda c: CASE WHEN ascii(c) >= 65 THEN ascii(c) - 55 ELSE ascii(c) - 48 END)"
+MOD97 = f"list_reduce(list_prepend(0, {NUMBERS}), lambda a, x: (a * CASE WHEN x > 9 THEN 100 ELSE 10 END + x) % 97) = 1"
+#: IBANs of countries whose length is known; their edges are checked where the match is (no lookaround here).
+IBANS = spans("iban", 4, pii.FIXED, 0, MOD97)
+EDGES = "NOT regexp_matches(substr(t, start, 1), '[A-Za-z0-9]') AND NOT regexp_matches(substr(t, stop + 1, 1), '[A-Za-z0-9]')"
+AROUND = "(substr(t, greatest(start - 40, 0) + 1, least(start, 40)) || ' ' || chr(8233) || ' ' || substr(t, stop + 1, 40))"
+
+
+def said_near(patterns: dict[str, str]) -> str:
+    return "(" + " OR ".join(f"(kind = '{k}' AND regexp_matches({AROUND}, '{p}'))" for k, p in patterns.items()) + ")"
+
+
+WORTH = "CASE kind " + " ".join(f"WHEN '{k}' THEN {pii.START + (pii.CHECKED if k in ('card', 'iban') else 0.0)}" for k in pii.KINDS) + " END"
+OP3 = f"""WITH {TEXTS}, s AS ({PERSONAL} UNION ALL SELECT i.* FROM ({IBANS}) i JOIN texts USING (doc_id) WHERE {EDGES}),
+  j AS (SELECT s.*, round({WORTH} + CASE WHEN {said_near(pii.CONTEXT)} THEN {pii.FOR} WHEN {said_near(pii.AGAINST)} THEN -{pii.COUNTER} ELSE 0.0 END, 3) AS score FROM s JOIN texts USING (doc_id)),
   d AS (SELECT doc_id, {', '.join(f"count(*) FILTER (number = {i}) AS n_{k}" for i, k in enumerate(('email', 'ip', 'card', 'phone')))},
-    string_agg({SAID}, ',' ORDER BY number, start) AS spans, max(score) AS score FROM j GROUP BY doc_id)
-  SELECT t.doc_id, {', '.join(f"coalesce(n_{k}, 0) AS n_{k}" for k in ('email', 'ip', 'card', 'phone'))}, sha256(coalesce(spans, '')) AS base_sha256,
+    string_agg({SAID}, ',' ORDER BY number, start) FILTER (number < 4) AS base, string_agg({SAID}, ',' ORDER BY number, start) AS spans, max(score) AS score FROM j GROUP BY doc_id)
+  SELECT t.doc_id, {', '.join(f"coalesce(n_{k}, 0) AS n_{k}" for k in ('email', 'ip', 'card', 'phone'))}, sha256(coalesce(base, '')) AS base_sha256,
     coalesce(spans, '') AS spans, cast(coalesce(score, 0.0) AS double) AS score FROM texts t LEFT JOIN d USING (doc_id)"""
 
 OP4 = f"""WITH d AS (SELECT doc_id, {words('text')} AS w FROM documents), b AS (SELECT item_id, {words('text')} AS w FROM benchmark),

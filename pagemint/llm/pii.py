@@ -5,8 +5,9 @@ projection: no shuffle, no Python on executors. Patterns are written so that a s
 tried once, at its start or where the last match ended, and is never given back. An IBAN has its country's length; with any
 other country code it ends at the last space (or the end) of the run up to which mod 97 holds.
 
-Score of a span: 0.5, plus 0.3 if a checksum confirmed it, plus 0.2 if a word for its kind stands in the 40 characters
-before it.
+Score of a span: 0.5, plus 0.3 if a checksum confirmed it, plus 0.2 if a word for its kind stands in
+the 40 characters on either side, less 0.3 if a word against it does (a version before four numbers, an order number before
+digits) and none for it. Redaction takes spans of 0.5 and more, so words against a span without a checksum save it.
 
 Defined cases: a null text counts as empty and has no spans; repeated rows give equal results; texts are scanned whole;
 other columns pass through, one named like the output is replaced.
@@ -40,7 +41,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": rf"(?<![A-Za-z0-9])(?:{FIXED}|(?!{KNOWN})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}})(?![A-Za-z0-9])",
 }
-#: Words that, shortly before a span, speak for its kind.
+#: Words that, close to a span, speak for its kind or against it.
 CONTEXT = {
     "email": r"(?i)\b(?:e-?mail|mail|contact|write|reach)\b",
     "ip": r"(?i)\b(?:ip|host|server|address|client)\b",
@@ -48,6 +49,14 @@ CONTEXT = {
     "phone": r"(?i)\b(?:phone|tel|call|mobile|fax|dial)\b",
     "iban": r"(?i)\b(?:iban|account|bank|transfer)\b",
 }
+AGAINST = {
+    "email": r"(?i)\b(?:git|ssh|scp|rsync)\b",
+    "ip": r"(?i)\b(?:version|release|firmware|section|chapter|build)\b",
+    "card": r"(?i)\b(?:isbn|order|invoice|serial|tracking|part)\b",
+    "phone": r"(?i)\b(?:isbn|order|invoice|serial|tracking|utc|gmt)\b",
+    "iban": r"(?i)\b(?:isbn|serial|tracking|licence|license)\b",
+}
+START, CHECKED, FOR, COUNTER = 0.5, 0.3, 0.2, 0.3
 WINDOW = 40
 
 
@@ -125,11 +134,18 @@ def found(text: Column) -> Column:
 
 def score(text: Column, span: Column) -> Column:
     before = F.substring(text, F.greatest(span["start"] - WINDOW, F.lit(0)) + 1, F.least(span["start"], F.lit(WINDOW)))
-    near = F.lit(False)
+    around = F.concat(before, F.lit(" \u2029 "), F.substring(text, span["end"] + 1, F.lit(WINDOW)))
+
+    def of_kind(k: str) -> Column:
+        worth = START + (CHECKED if k in ("card", "iban") else 0.0)
+        speaks = F.rlike(around, F.lit(CONTEXT[k]))
+        against = F.rlike(around, F.lit(AGAINST[k]))
+        return F.when(speaks, worth + FOR).when(against, worth - COUNTER).otherwise(worth)
+
+    out = F.lit(0.0)
     for i, k in enumerate(KINDS):
-        near = near | ((span["kind"] == i) & F.rlike(before, F.lit(CONTEXT[k])))
-    checked = span["kind"].isin(KINDS.index("card"), KINDS.index("iban"))
-    return F.lit(0.5) + F.when(checked, 0.3).otherwise(0.0) + F.when(near, 0.2).otherwise(0.0)
+        out = F.when(span["kind"] == i, of_kind(k)).otherwise(out)
+    return F.round(out, 3)
 
 
 def scan(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:

@@ -132,3 +132,53 @@ def test_iban_before_capitals_and_digits(spark):
     }
     got = {r.text: [s.value for s in r.pii if s.kind == 4] for r in pii.scan(spark.createDataFrame([(t,) for t in want], "text string")).collect()}
     assert got == {t: [v] if isinstance(v, str) else list(v) for t, v in want.items()}
+
+
+KEY = "-----BEGIN RSA PRIVATE KEY-----"
+
+
+def test_private_keys_and_repositories(spark):
+    one, two = ("".join(random.Random(k).choices("abcdefXYZ0123+/", k=200)) for k in (1, 2))
+    wrapped = lambda k, n: "\n".join(k[i : i + n] for i in range(0, len(k), n))
+    rows = [
+        (1, f"{KEY}\n{wrapped(one, 30)}\n-----END RSA PRIVATE KEY-----", "a", "r"),
+        (2, f"{KEY}\nProc-Type: 4,ENCRYPTED\n\n{wrapped(two, 28)}\n-----END", "b", "r"),
+        (3, f"see {KEY} in the file", "c", "r"),
+        *((10 + k, "x " + "Qq7" * 12, "d", f"r{k}") for k in range(5)),
+        *((20 + k, "x " + "Ww8" * 12, "e", f"r{k}") for k in range(3)),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, owner string, repository string")
+    got = {r.doc_id: (len(r.live), len(r.copied)) for r in secret_scan.scan(df).collect()}
+    assert got == {1: (1, 0), 2: (1, 0), 3: (0, 0), **{10 + k: (0, 1) for k in range(5)}, **{20 + k: (1, 0) for k in range(3)}}
+    copied = [(k, t.replace("\n", "\r\n"), f"o{k}", "r") for k, t in ((1, rows[0][1]), (2, rows[0][1]))]
+    got = secret_scan.scan(spark.createDataFrame(copied, df.schema)).collect()
+    assert [(len(r.live), len(r.copied)) for r in got] == [(0, 1)] * 2
+
+
+def test_context_on_both_sides_and_against(spark):
+    want = {
+        "10.1.2.3": 0.5, "10.1.2.3 is the server": 0.7, "version 10.1.2.3": 0.2, "server version 10.1.2.3": 0.7,
+        "4539148803436467": 0.8, "order 4539148803436467": 0.5, "4539148803436467, a visa": 1.0,
+    }
+    df = spark.createDataFrame([(t,) for t in want], "text string")
+    assert {r.text: r.pii[0].score for r in pii.scan(df).collect()} == want
+    kept = {r.text for r in pii.redact(df).collect()}
+    assert "version 10.1.2.3" in kept and "10.1.2.3" not in kept and "order [card]" in kept
+
+
+def test_sql_of_secrets_and_personal_data(spark, tmp_path):
+    import duckdb
+
+    from pagemint.llm import oracles, queries
+
+    keys = [f"{KEY}\n{'Ab1' * 20}\n", f"{KEY} x", "Xx1" * 12, "Yy2" * 12]
+    ibans = ["DE89 3704 0044 0532 0130 00 BIC", "GB82WEST12345698765432.", "xDE89370400440532013000", "DE88370400440532013000"]
+    made = [t for t in texts() if "\x00" not in t and len(t) < 500][:300] + keys + keys[2:3] + ibans
+    rows = [(i, t, "en" if i % 3 else "de", f"s{i % 4}", 0) for i, t in enumerate(made)] + [(10**6, None, None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    for name, sql in (("op2_secret_scan", oracles.OP2), ("op3_pii_scan", oracles.OP3)):
+        got = queries.QUERIES[name](spark, str(tmp_path))
+        rows = con.execute(f"SELECT {', '.join(got.columns)} FROM ({sql})").fetchall()
+        assert sorted(map(str, rows)) == sorted(str(tuple(r)) for r in got.collect()), name
