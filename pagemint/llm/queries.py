@@ -80,15 +80,11 @@ def op5_tiff_media(spark: SparkSession, folder: str) -> DataFrame:
             "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text"
         )
     )
-    return tiff.features(media).select(
-        "doc_id",
-        "n_bytes",
-        "payload_bytes",
-        F.sha2("payload", 256).alias("payload_sha256"),
-        F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"),
-        F.length("media").cast("long").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"),
-        "feature",
+    sized = media.select(
+        "doc_id", "n_bytes", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media"
+    )
+    return tiff.by_file(tiff.pages(sized)).select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"
     )
 
 

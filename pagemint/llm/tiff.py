@@ -1,17 +1,22 @@
 """Media columns: TIFF. A reader that emits one row per page, and a writer for lossless 8-bit samples.
 
-The reader walks the image directories (both byte orders; a directory offset seen before ends the walk), reads strips or
-tiles, decodes none, PackBits, LZW or deflate, undoes the horizontal predictor of 8- and 16-bit samples, and gives chunky
-samples row by row. The writer lays a payload out as grey 8-bit pages of 576 columns and at most ``PAGE_ROWS`` rows and
-goes through the codings and layouts by page and size, so stored forms of all kinds are read back.
+The reader walks the image directories (both byte orders, plain and big files; a directory offset seen before ends the walk),
+reads strips or tiles, decodes none, PackBits, LZW or deflate, turns bytes round where the file fills them from the low bit,
+undoes the horizontal predictor of 8- and 16-bit samples, and gives chunky samples row by row, planes put together. Samples
+of 1, 2 and 4 bits come as one byte each. The writer lays a payload out as grey 8-bit pages of 576 columns and at most
+``PAGE_ROWS`` rows and goes through the codings and layouts by page and size, so stored forms of all kinds are read back.
+
+``by_file`` folds the page rows of each file as they come, page by page: digests, histogram and last bytes of all samples.
 
 Defined cases: null and empty payloads are padded like any other (one row of 255s); equal payloads give equal files; a
-truncated or foreign blob gives one row with ``error`` set and no samples, not a failure; a null blob gives no row;
-other columns are repeated on each page row, those named like an output are replaced. A file is decoded page by page.
+truncated, foreign or hostile blob gives one row with ``error`` set and no samples, not a failure: sizes are held against
+strips or tiles and ``most_bytes`` before anything is laid out, and no part is decoded beyond its size; a null blob gives no
+row; other columns are repeated on each page row, those named like an output are replaced. A file is decoded page by page.
 """
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
@@ -27,8 +32,13 @@ WIDTH = 576
 PAGE_ROWS = 64
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 #: Bytes of each field type of a directory entry, by number.
-SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
-CODES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i"}
+SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 16: 8}
+CODES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 16: "Q"}
+#: Samples of one page that are laid out; a page of more is an error row.
+MOST_BYTES = 1 << 28
+TURNED_BYTES = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
+#: What reading a bad file may raise.
+BAD_FILE = (ValueError, struct.error, zlib.error, LookupError, ArithmeticError, MemoryError)
 
 
 def pad(raw: bytes) -> bytes:
@@ -67,10 +77,11 @@ def packbits(raw: bytes) -> bytes:
     return bytes(out)
 
 
-def unpackbits(data: bytes) -> bytes:
-    out, at = [], 0
-    while at < len(data):
+def unpackbits(data: bytes, most: int = MOST_BYTES) -> bytes:
+    out, at, size = [], 0, 0
+    while at < len(data) and size < most:
         n = data[at]
+        size += n + 1 if n < 128 else 257 - n
         if n < 128:
             out.append(data[at + 1 : at + 2 + n])
             at += 2 + n
@@ -112,8 +123,9 @@ def lzw(raw: bytes) -> bytes:
     return np.packbits(bits[np.arange(12) >= 12 - c[:, 1:]]).tobytes()
 
 
-def unlzw(data: bytes) -> bytes:
+def unlzw(data: bytes, most: int = MOST_BYTES) -> bytes:
     out: list[bytes] = []
+    size = 0
     held, bits, width, last = 0, 0, 9, b""
     table = [*SINGLE, b"", b""]
     for byte in data:
@@ -135,7 +147,10 @@ def unlzw(data: bytes) -> bytes:
         else:
             raise ValueError("a code beyond the LZW table")
         out.append(entry)
-        if last:
+        size += len(entry)
+        if size >= most:
+            break
+        if last and len(table) < 4096:
             table.append(last + entry[:1])
             if len(table) >= (1 << width) - 1 and width < 12:
                 width += 1
@@ -143,15 +158,16 @@ def unlzw(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def unpack(data: bytes, coding: int) -> bytes:
+def unpack(data: bytes, coding: int, most: int) -> bytes:
+    """At least the first ``most`` bytes that are coded, if there are as many, and not many more."""
     if coding == NONE:
         return data
     if coding == LZW:
-        return unlzw(data)
+        return unlzw(data, most)
     if coding in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, max(1, most))
     if coding == PACKBITS:
-        return unpackbits(data)
+        return unpackbits(data, most)
     raise ValueError(f"coding {coding} is not known")
 
 
@@ -218,54 +234,78 @@ def write(payload: bytes) -> bytes:
 def directories(blob: bytes) -> Iterator[dict[int, list[int]]]:
     """Whole-number fields of each image directory, in file order."""
     order = {b"II": "<", b"MM": ">"}.get(blob[:2])
-    if order is None or struct.unpack(order + "H", blob[2:4])[0] != 42:
+    version = struct.unpack(order + "H", blob[2:4])[0] if order else 0
+    if version not in (42, 43):
         raise ValueError("no TIFF header")
-    (at,) = struct.unpack(order + "I", blob[4:8])
+    # forms of an offset, of the number of entries and of an entry up to its value, and the bytes of a value in place
+    offset, number, entry, first = ("I", "H", "HHI", 4) if version == 42 else ("Q", "Q", "HHQ", 8)
+    room, size = struct.calcsize("=" + offset), struct.calcsize("=" + entry)
+    (at,) = struct.unpack_from(order + offset, blob, first)
     seen = set()
     while at and at not in seen:
         seen.add(at)
-        (n,) = struct.unpack_from(order + "H", blob, at)
+        (n,) = struct.unpack_from(order + number, blob, at)
+        start = at + struct.calcsize("=" + number)
+        if start + n * (size + room) > len(blob):
+            raise ValueError("a directory lies beyond the file")
         fields = {}
         for k in range(n):
-            tag, kind, count = struct.unpack_from(order + "HHI", blob, at + 2 + 12 * k)
+            where = start + k * (size + room)
+            tag, kind, count = struct.unpack_from(order + entry, blob, where)
+            where += size
             if kind not in CODES:
                 continue
-            where = at + 10 + 12 * k
-            if count * SIZES[kind] > 4:
-                (where,) = struct.unpack_from(order + "I", blob, where)
+            if count * SIZES[kind] > room:
+                (where,) = struct.unpack_from(order + offset, blob, where)
+            if where + count * SIZES[kind] > len(blob):
+                raise ValueError("a field lies beyond the file")
             fields[tag] = list(struct.unpack_from(f"{order}{count}{CODES[kind]}", blob, where))
         yield fields | {0: [ord(order)]}
-        (at,) = struct.unpack_from(order + "I", blob, at + 2 + 12 * n)
+        (at,) = struct.unpack_from(order + offset, blob, start + n * (size + room))
 
 
-def samples(blob: bytes, fields: dict[int, list[int]]) -> tuple[int, int, int, int, bytes]:
+def samples(blob: bytes, fields: dict[int, list[int]], most_bytes: int = MOST_BYTES) -> tuple[int, int, int, int, bytes]:
     """Width, height, samples a pixel, bits a sample and the samples of one page."""
     one = lambda tag, default: fields.get(tag, [default])[0]
     width, height, each, bits = fields[256][0], fields[257][0], one(277, 1), one(258, 1)
-    coding, predictor = one(259, NONE), one(317, 1)
-    if bits not in (8, 16) or len(set(fields.get(258, [bits]))) > 1:
+    coding, predictor, turned = one(259, NONE), one(317, 1), one(266, 1) == 2
+    if bits not in (1, 2, 4, 8, 16) or len(set(fields.get(258, [bits]))) > 1:
         raise ValueError(f"{fields.get(258)} bits a sample are not read")
-    if one(284, 1) != 1 and each > 1:
-        raise ValueError("samples in planes are not read")
+    if predictor not in (1, 2) or predictor == 2 and bits < 8:
+        raise ValueError(f"predictor {predictor} is not known for {bits} bits")
+    planes, chunk = (each, 1) if one(284, 1) == 2 else (1, each)
     order = chr(fields[0][0])
-    kind = np.dtype("u1") if bits == 8 else np.dtype(f"{order}u2")
+    kind = np.dtype(f"{order}u2") if bits == 16 else np.dtype("u1")
     tiled = 322 in fields
     across, down = (fields[322][0], fields[323][0]) if tiled else (width, min(one(278, height), height))
     offsets, counts = (fields[324], fields[325]) if tiled else (fields[273], fields[279])
-    page = np.zeros((height, width, each), kind)
+    if min(width, height, each, across, down) < 1:
+        raise ValueError("a size is zero")
     columns = -(-width // across)
-    for k, (at, n) in enumerate(zip(offsets, counts, strict=True)):
+    parts = columns * -(-height // down)
+    if len(offsets) != parts * planes or len(counts) != len(offsets):
+        raise ValueError(f"{len(offsets)} strips or tiles, {parts * planes} wanted")
+    if max(width * height * each, across * down * chunk) * kind.itemsize > most_bytes:
+        raise ValueError(f"a page of more than {most_bytes} bytes")
+    if any(at + n > len(blob) for at, n in zip(offsets, counts)):
+        raise ValueError("a strip or tile lies beyond the file")
+    page = np.zeros((height, width, each), kind)
+    row_bytes = -(-across * chunk * bits // 8)
+    for k, (at, n) in enumerate(zip(offsets, counts)):
+        plane, k = divmod(k, parts)
         y, x = k // columns * down, k % columns * across
-        if at + n > len(blob):
-            raise ValueError("a strip or tile lies beyond the file")
         tall = down if tiled else min(down, height - y)
-        raw = unpack(blob[at : at + n], coding)
-        part = np.frombuffer(raw, kind, tall * across * each).reshape(tall, across, each)
+        data = blob[at : at + n]
+        raw = unpack(data.translate(TURNED_BYTES) if turned else data, coding, tall * row_bytes)
+        if bits < 8:
+            set_bits = np.unpackbits(np.frombuffer(raw, np.uint8, tall * row_bytes).reshape(tall, row_bytes), axis=1)
+            weights = 1 << np.arange(bits - 1, -1, -1, dtype=np.uint8)
+            part = (set_bits[:, : across * chunk * bits].reshape(tall, across, chunk, bits) * weights).sum(axis=3, dtype=np.uint8)
+        else:
+            part = np.frombuffer(raw, kind, tall * across * chunk).reshape(tall, across, chunk)
         if predictor == 2:
             part = np.cumsum(part, axis=1, dtype=kind.newbyteorder("="))
-        elif predictor != 1:
-            raise ValueError(f"predictor {predictor} is not known")
-        fit = page[y : y + tall, x : x + across]
+        fit = page[y : y + tall, x : x + across, plane * chunk : (plane + 1) * chunk] if planes > 1 else page[y : y + tall, x : x + across]
         fit[:] = part[: fit.shape[0], : fit.shape[1]]
     return width, height, each, bits, page.tobytes()
 
@@ -302,61 +342,124 @@ def store(docs: DataFrame, text: str = "text", out: str = "media") -> DataFrame:
 def pages(media: DataFrame, column: str = "media") -> DataFrame:
     """One row for each page of each file: the other columns, page (from 0), its size, samples, and error if unreadable."""
     keep = [f for f in media.schema.fields if f.name != column and f.name not in PAGE.names]
+    names, kinds = [*(f.name for f in keep), *PAGE.names], [pa.int64()] * 5 + [pa.binary(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(len(batch)):
-                blob = batch.column(column)[i].as_py()
-                if blob is None:
-                    continue
-                rows, n = [], 0
+            own = [batch.column(f.name) for f in keep]
+            rows, of, held = [], [], 0
+
+            def done(own=own, rows=rows, of=of) -> pa.RecordBatch:
+                columns = list(zip(*rows)) or [()] * len(kinds)
+                out = [c.take(pa.array(of, pa.int64())) for c in own] + [pa.array(c, t) for c, t in zip(columns, kinds)]
+                return pa.RecordBatch.from_arrays(out, names)
+
+            for i, blob in enumerate(batch.column(column)):
+                n = -1
                 try:
-                    for n, page in enumerate(read(blob), 1):
-                        rows.append((n - 1, *page, None))
-                except (ValueError, struct.error, zlib.error, KeyError, IndexError) as e:
-                    rows.append((n, None, None, None, None, None, f"{type(e).__name__}: {e}"))
-                own = [pa.array([batch.column(f.name)[i].as_py()] * len(rows), batch.column(f.name).type) for f in keep]
-                types = [pa.int64()] * 5 + [pa.binary(), pa.string()]
-                cells = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
-                yield pa.RecordBatch.from_arrays([*own, *cells], [*(f.name for f in keep), *PAGE.names])
+                    for n, page in enumerate(read(blob.as_py()) if blob.is_valid else ()):
+                        rows.append((n, *page, None))
+                        of.append(i)
+                        held += len(page[-1])
+                        if held > HELD:
+                            yield done()
+                            rows.clear()
+                            of.clear()
+                            held = 0
+                except BAD_FILE as e:
+                    rows.append((n + 1, None, None, None, None, None, f"{type(e).__name__}: {e}"))
+                    of.append(i)
+            if rows:
+                yield done()
 
     return media.mapInArrow(run, T.StructType([*keep, *PAGE.fields]))
 
 
-FEATURES = T.StructType(
+#: Bytes of samples that are handed on together.
+HELD = 8_000_000
+FILE = T.StructType(
     [
         T.StructField("payload_bytes", T.LongType()),
-        T.StructField("payload", T.BinaryType()),
+        T.StructField("payload_sha256", T.StringType()),
+        T.StructField("tail_crc32", T.LongType()),
         T.StructField("feature", T.StringType()),
+        T.StructField("error", T.StringType()),
     ]
 )
 
 
-def features(media: DataFrame, column: str = "media") -> DataFrame:
-    """Add, from the samples read back: payload_bytes, payload, feature (pages, size, mean, deviation, 8-bin histogram)."""
-    fields = [f for f in media.schema.fields if f.name not in FEATURES.names]
-    names = [*(f.name for f in fields), *FEATURES.names]
+class _File:
+    """What is known of a file's samples while its pages pass."""
+
+    def __init__(self, whole: bool) -> None:
+        self.held: list[bytes] | None = [] if whole else None
+        self.pages, self.bytes, self.digest, self.tail, self.error = 0, 0, hashlib.sha256(), b"", None
+        self.counts = np.zeros(256, np.int64)
+
+    def add(self, samples: bytes | None, error: str | None) -> None:
+        self.error = self.error or error
+        if samples is not None:
+            self.pages, self.bytes = self.pages + 1, self.bytes + len(samples)
+            self.digest.update(samples)
+            if self.held is not None:
+                self.held.append(samples)
+            self.tail = (self.tail + samples)[-32:] if len(samples) < 32 else samples[-32:]
+            self.counts += np.bincount(np.frombuffer(samples, np.uint8), minlength=256)
+
+    def row(self) -> tuple:
+        n, values = max(1, self.bytes), np.arange(256)
+        mean = float(self.counts @ values) / n
+        spread = float(self.counts @ (values - mean) ** 2) / n
+        bins = ",".join(map(str, self.counts.reshape(8, 32).sum(1).tolist()))
+        said = f"pages={self.pages};bytes={self.bytes};mean={mean:.4f};deviation={spread**0.5:.4f};histogram={bins}"
+        whole = () if self.held is None else (b"".join(self.held),)
+        return self.bytes, self.digest.hexdigest(), zlib.crc32(self.tail), said, self.error, *whole
+
+
+def by_file(found: DataFrame, payload: bool = False) -> DataFrame:
+    """One row for each file of ``pages``: the other columns, payload_bytes, payload_sha256 and tail_crc32 (of the last 32
+    bytes) of all its samples, feature (pages, bytes, mean, deviation, 8-bin histogram), error; with ``payload`` the samples.
+
+    The pages of a file come one after the other, as ``pages`` gives them; nothing is shuffled, and without ``payload`` no file
+    is put together.
+    """
+    more = [T.StructField("payload", T.BinaryType())] if payload else []
+    made = [*FILE.fields, *more]
+    keep = [f for f in found.schema.fields if f.name not in PAGE.names and f.name not in [m.name for m in made]]
+    out = T.StructType([*keep, *made])
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            raw, said = [], []
-            for blob in part.column(column):
-                got = list(read(blob.as_py()))
-                raw.append(b"".join([p[4] for p in got]))
-                counts = np.bincount(np.frombuffer(raw[-1], np.uint8), minlength=256)
-                n, values = int(counts.sum()), np.arange(256)
-                mean = float(counts @ values) / n
-                spread = float(counts @ (values - mean) ** 2) / n
-                bins = ",".join(map(str, counts.reshape(8, 32).sum(1).tolist()))
-                said.append(f"pages={len(got)};rows={n // WIDTH};mean={mean:.4f};deviation={spread**0.5:.4f};histogram={bins}")
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(part.column(f.name) for f in fields),
-                    pa.array([len(r) for r in raw], pa.int64()),
-                    pa.array(raw, pa.binary()),
-                    pa.array(said, pa.string()),
-                ],
-                names,
-            )
-
-    return media.mapInArrow(run, T.StructType([*fields, *FEATURES.fields]))
+        open_file, own = None, None
+
+        def done(files: list[_File], columns: list) -> pa.RecordBatch:
+            cells = [pa.array(c, t) for c, t in zip(zip(*(f.row() for f in files)), kinds)]
+            return pa.RecordBatch.from_arrays([*columns, *cells], out.names)
+
+        for batch in batches:
+            closed, last = [], []
+            said = (batch.column(c).to_pylist() for c in ("page", "samples", "error"))
+            for i, (page, samples, error) in enumerate(zip(*said)):
+                if page == 0:  # the file before it is complete
+                    if open_file is not None:
+                        if i:
+                            closed.append(open_file)
+                            last.append(i - 1)
+                        else:
+                            yield done([open_file], own)
+                    open_file = _File(payload)
+                open_file.add(samples, error)
+            if closed:
+                rows = pa.array(last, pa.int64())
+                yield done(closed, [batch.column(f.name).take(rows) for f in keep])
+            if len(batch):
+                own = [batch.column(f.name).slice(len(batch) - 1, 1) for f in keep]
+        if open_file is not None:
+            yield done([open_file], own)
+
+    return found.mapInArrow(run, out)
+
+
+def features(media: DataFrame, column: str = "media") -> DataFrame:
+    """What ``by_file`` gives for the pages of each file, with the payload."""
+    return by_file(pages(media, column), payload=True)
