@@ -1,18 +1,19 @@
 """Quality classifier: nearest-neighbour voting among labelled latent-semantic vectors.
 
-A text becomes a vector of counts: hashed trigrams of its character shapes (letter runs, capitals, digits and spaces
-collapse, punctuation stays), hashed words, and soft bins of a few whole-text ratios. At most ``sample`` labelled rows (those
-of least hash of the id) give idf weights and, by a truncated singular value decomposition, the latent space; their latent
-vectors are broadcast. Every document is projected, its exact cosines with all labelled vectors are worked out in blocks,
-and its nearest neighbours vote with their labels, weighted by a power of similarity. Labelled rows with the very same vector as a
-document have no vote on it, so a labelled document's own label is no input of its score.
+A text becomes a vector of log counts: hashed words, hashed trigrams of its character shapes (letter runs, capitals, digits
+and spaces collapse, punctuation stays), and soft bins of a few whole-text ratios. At most ``sample`` labelled rows (those of
+least hash of the id) give idf weights and, by a truncated singular value decomposition, the latent space; their latent
+vectors are broadcast. Every document is projected, its exact cosines with all labelled vectors are worked out in blocks, and
+its nearest neighbours vote with their labels, weighted by a power of similarity. All labelled vectors may vote, that of an
+exact copy too: a score is a function of the text and the model alone.
 
 Labels, language, source and id are no inputs of a score. The broadcast holds ``sample`` x ``rank`` numbers whatever the
 corpus; texts are read once for the fit (labelled rows only) and once for the score, and not shuffled.
 
 Defined cases: null, empty and wordless texts have a zero vector and score the mean label of the sample; without labels
-every score is 0.5; null labels are not learned from; an id with two labels takes the greater; repeated rows score equally;
-other columns pass through, those named like an output are replaced; texts are read whole.
+every score is 0.5; null labels are not learned from; an id with two labels takes the greater; repeated rows score equally,
+whatever rows stand beside them (cosines are compared to 10 digits); of neighbours equally near at the last place those first
+in the sample vote; other columns pass through, those named like an output are replaced; texts are read whole.
 """
 
 from __future__ import annotations
@@ -30,13 +31,13 @@ from pyspark.sql import types as T
 from pagemint.llm.common import WORD_BYTES, slices
 from pagemint.llm.toxicity import sampled
 
-SHAPES, WORDS, BINS = 512, 448, 8
+SHAPES, WORDS, BINS = 512, 1024, 8
 RATIOS = 8
 SIZE = SHAPES + WORDS + RATIOS * BINS
-#: A cosine within this of 1 is that of the same text.
-SAME = 1e-5
+#: Digits to which cosines are compared: sums of products in another order differ beyond them.
+DIGITS = 10
 #: Share of each block in a vector's squared length.
-BLOCKS = ((0, SHAPES, 0.4), (SHAPES, SHAPES + WORDS, 0.1), (SHAPES + WORDS, SIZE, 0.5))
+BLOCKS = ((0, SHAPES, 0.3), (SHAPES, SHAPES + WORDS, 0.4), (SHAPES + WORDS, SIZE, 0.3))
 
 
 def _classes() -> tuple[bytes, int]:
@@ -129,17 +130,19 @@ class Model:
         """Scores of a block of documents: exact cosines with all labelled vectors, the nearest of them vote."""
         if not len(self.labels):
             return np.full(len(vectors), self.mean)
-        near = (self.latent(vectors) @ self.known.T).astype(np.float64)
-        near[near > 1 - SAME] = -1.0
+        near = np.round(self.latent(vectors) @ self.known.T, DIGITS)
         k = min(self.neighbours, near.shape[1])
-        top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(near, top, 1), 0.0) ** self.power + 1e-9
-        score = (weight * self.labels[top]).sum(1) / weight.sum(1)
+        last = -np.partition(-near, k - 1, axis=1)[:, k - 1 : k]
+        level = near == last
+        left = k - (near > last).sum(axis=1, keepdims=True)
+        top = (near > last) | level & (np.cumsum(level, axis=1) <= left)
+        weight = (np.maximum(near, 0.0) ** self.power + 1e-9) * top
+        score = (weight * self.labels).sum(1) / weight.sum(1)
         return np.where(vectors.any(axis=1), score, self.mean)
 
 
 def weighted(vectors: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    v = vectors * idf
+    v = vectors.astype(np.float64) * idf
     for a, b, share in BLOCKS:
         norms = np.linalg.norm(v[:, a:b], axis=1, keepdims=True)
         v[:, a:b] *= share**0.5 / np.maximum(norms, 1e-12)
@@ -174,11 +177,11 @@ def learn(
     v = np.frombuffer(b"".join([r[2] for r in got]), np.float32).reshape(len(got), SIZE)
     y = np.array([r[1] for r in got], float)
     used = (v > 0).sum(axis=0)
-    idf = np.log((1 + len(v)) / (1 + used)).astype(np.float32) + 1
-    x = weighted(v, idf).astype(np.float64)
+    idf = np.log((1 + len(v)) / (1 + used)) + 1
+    x = weighted(v, idf)
     _, vectors = np.linalg.eigh(x.T @ x)  # the right singular vectors of x
-    model = Model(idf, vectors[:, ::-1][:, :rank].astype(np.float32), v[:0], y, float(y.mean()), neighbours, power)
-    model.known = model.latent(v).astype(np.float32)
+    model = Model(idf, vectors[:, ::-1][:, :rank].copy(), v[:0], y, float(y.mean()), neighbours, power)
+    model.known = model.latent(v)
     return model
 
 
