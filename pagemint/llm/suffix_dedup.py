@@ -6,15 +6,18 @@ leftmost of equals, is its anchor: equal windows have equal anchors at equal dis
 bucket of their anchor. Consecutive windows with one anchor form a region, the unit of all shuffles (one for some 80 bytes).
 
 1. Anchors that occur once in the corpus have no equal windows; they are counted (combined before the shuffle) and dropped.
-2. Equal regions (by two 64-bit hashes) are counted. All windows of a repeated region are repeated; its text is not needed.
+2. Equal regions (by 128 bits of XXH3 of their bytes) are counted. All windows of a repeated region are repeated; its text is
+   not needed.
 3. In buckets of several different regions one copy of each region is fetched from the texts, and the bucket's suffixes are
    put in order by deep-shallow sorting: multikey quicksort, eight bytes to a key and all groups at once, to a shallow
    depth; groups still together there are ordered by blind tries, built breadth first: each member is compared with the
    group's first one, and goes on with those that branch off it at the same place by the same byte. Suffixes found equal
    over the whole length are the repeated windows. Bytes are compared, not hashes.
-4. A bucket of more than ``most_regions`` different regions is not sorted in one task. Its windows are told apart by counts
-   of content hashes (128 bits with the anchor's), over ranges of windows that are cut where counts do not decide: exact
-   for buckets of any size, and no rows of a bucket come together.
+4. A bucket of more than ``most_regions`` different regions is dealt into smaller ones and these are sorted in the same way:
+   its regions are cut into pieces by distance to the anchor, and pieces at one distance go by the bytes that all their
+   windows share; equal windows share them. Of pieces equal byte for byte one goes on. Where a bucket is still too large, its
+   pieces are cut narrower, down to single windows, of which no two different ones share a bucket. The result is the same
+   for any ``most_regions``, and no rows of a large bucket come together.
 
 Spans of repeated windows meet at their document by id, where the text is read again. Both uses of the texts share one
 shuffle. Narrow tables between the steps are written to the shared folder.
@@ -31,6 +34,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,36 +48,34 @@ LOW = np.uint64((1 << 20) - 1)
 #: Depth in bytes to which multikey quicksort goes, and bytes of regions that are sorted at once (whole buckets).
 SHALLOW = 32
 SORTED_AT_ONCE = 2_000_000
-#: A bucket of so many different regions (some 200 KB) is still sorted in one task.
+#: A bucket of so many different regions (some 200 KB) is sorted as it is; larger ones are dealt into smaller ones first.
 MOST_REGIONS = 768
-#: Widths of the nodes into which larger buckets are cut, in windows; those that leave windows no middle are left out.
-NODE_WIDTHS = (32, 8, 2, 1)
-BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: Widths of the pieces into which regions of larger buckets are cut, in windows; those that leave windows nothing in common
+#: are left out.
+PIECE_WIDTHS = (32, 8, 2, 1)
+BASE = 0x9E3779B97F4A7C15
 
 
 @cache
-def tables() -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """A number for each byte, and powers and inverse powers of the two bases, mod 2^64."""
-    z = np.arange(1, 257, dtype=np.uint64) * np.uint64(BASES[0])
+def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number for each byte, and powers and inverse powers of the base, mod 2^64."""
+    z = np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE)
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     powers = []
-    for base in BASES:
-        pair = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(BLOCK + 1024, b, np.uint64)
-            p[0] = 1
-            pair.append(np.multiply.accumulate(p))
-        powers.append(tuple(pair))
-    return z ^ (z >> np.uint64(31)), powers
-
-
-def sums(data: np.ndarray, which: int) -> np.ndarray:
-    """Prefix sums whose differences, divided by a power, are hashes of substrings."""
-    numbers, powers = tables()
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(numbers[data] * powers[which][0][: len(data)], out=out[1:])
-    return out
+    for b in (BASE, pow(BASE, -1, 1 << 64)):
+        p = np.full(BLOCK + 4096, b, np.uint64)
+        p[0] = 1
+        powers.append(np.multiply.accumulate(p))
+    return z ^ (z >> np.uint64(31)), *powers
+
+
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """A hash of each GRAM bytes: differences of prefix sums, divided by a power. They choose anchors and decide nothing."""
+    numbers, powers, inverse = tables()
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(numbers[data] * powers[: len(data)], out=sums[1:])
+    return mix((sums[GRAM:] - sums[:-GRAM]) * inverse[: len(data) - GRAM + 1])
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -81,10 +83,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def hashes(prefix: np.ndarray, which: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return mix((prefix[end] - prefix[start]) * tables()[1][which][1][start])
-
-
 def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
     """The least of each ``width`` consecutive keys (block-wise running minima from both sides)."""
     n = len(keys)
@@ -94,21 +92,21 @@ def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def regions(raw: bytes, length: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Blocks of (anchor hash, region hash, first window, windows, distance from first window to anchor)."""
+def regions(raw: bytes, length: int) -> Iterator[tuple[np.ndarray | list, ...]]:
+    """Blocks of (anchor hash, region digest, first window, windows, distance from first window to anchor)."""
     data = np.frombuffer(raw, np.uint8)
+    digest = xxhash.xxh3_128_digest
     for at in range(0, len(data) - length + 1, BLOCK):
         part = data[at : at + BLOCK + length - 1]
-        grams = sums(part, 0)
-        last = len(part) - GRAM + 1
-        h = mix((grams[GRAM:] - grams[:-GRAM]) * tables()[1][0][1][:last])
-        anchor = (sliding_least((h & ~LOW) | np.arange(last, dtype=np.uint64), length - GRAM + 1) & LOW).astype(np.int64)
+        h = gram_hashes(part)
+        keys = (h & ~LOW) | np.arange(len(h), dtype=np.uint64)
+        anchor = (sliding_least(keys, length - GRAM + 1) & LOW).astype(np.int64)
         first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
         count = np.diff(np.append(first, len(anchor)))
         away = anchor[first] - first
-        whole = hashes(sums(part, 1), 1, first, first + count + length - 1)
-        own = mix(whole + (count.astype(np.uint64) << np.uint64(32)) + away.astype(np.uint64))
-        yield h[anchor[first]].view(np.int64), own.view(np.int64), first + at, count, away
+        # of one anchor, bytes and distance make a region
+        own = [digest(raw[i : i + n + length - 1], d) for i, n, d in zip((first + at).tolist(), count.tolist(), away.tolist())]
+        yield h[anchor[first]].view(np.int64), own, first + at, count, away
 
 
 # --- deep-shallow sorting ------------------------------------------------------------------------------------------
@@ -170,12 +168,13 @@ def runs(flags: np.ndarray) -> np.ndarray:
 
 
 def sorted_bucket_spans(rows: list[tuple], length: int) -> Iterator[tuple]:
-    """(key, start, end) of the repeated bytes in rows (anchor, key, first, count, away, region) of whole buckets."""
+    """(key, start, end) of the repeated bytes in rows (bucket, key, first, count, away, bytes) of whole buckets."""
     text = np.frombuffer(b"".join([r[5] for r in rows]) + bytes(8), np.uint8)
     at = np.concatenate(([0], np.cumsum([len(r[5]) for r in rows])))[:-1]
     counts = np.array([r[3] for r in rows])
     within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    _, bucket = np.unique(np.array([r[0] for r in rows]), return_inverse=True)
+    numbers: dict = {}
+    bucket = np.array([numbers.setdefault(r[0], len(numbers)) for r in rows])
     distance = np.repeat([r[4] for r in rows], counts) - within  # equal windows have their anchor at one distance
     group = np.repeat(bucket, counts) * (1 << 20) + distance
     found = repeated(text, np.repeat(at, counts) + within, group, length)
@@ -192,7 +191,8 @@ def spans(docs: DataFrame, texts: DataFrame, length: int, most_regions: int) ->
     """(key, start, end) of repeated bytes; ``docs`` and ``texts`` are (key, text), the second dealt out by key."""
     key_field = docs.schema["key"]
     long = T.LongType()
-    record = T.StructType([key_field, *(T.StructField(n, long) for n in ("anchor", "region", "first", "count", "away"))])
+    fields = [("anchor", long), ("region", T.BinaryType()), ("first", long), ("count", long), ("away", long)]
+    record = T.StructType([key_field, *(T.StructField(n, t) for n, t in fields)])
     names = record.names
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +203,8 @@ def spans(docs: DataFrame, texts: DataFrame, length: int, most_regions: int) ->
                     keys.append(np.full(len(part[0]), i))
                     parts.append(part)
             if parts:
-                columns = [pa.array(np.concatenate([p[k] for p in parts])) for k in range(5)]
+                columns = [pa.array(np.concatenate([p[k] for p in parts])) for k in (0, 2, 3, 4)]
+                columns.insert(1, pa.array([d for p in parts for d in p[1]], pa.binary()))
                 yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(np.concatenate(keys))), *columns], names)
 
     # first, count (at most length) and away (less than length) in one number
@@ -260,8 +261,16 @@ def spans(docs: DataFrame, texts: DataFrame, length: int, most_regions: int) ->
                 )
 
     copies = stored(texts.join(by_text, "key").select("key", "text", "wanted").mapInArrow(fetch, region), "copies")
-    span = T.StructType([key_field, T.StructField("start", long), T.StructField("end", long)])
-    span_names = span.names
+    small = sorted_spans(copies.where("not large").drop("large"), ["anchor"], length)
+    return whole.unionByName(small).unionByName(dealt_spans(copies.where("large").drop("large"), length, most_regions))
+
+
+def sorted_spans(copies: DataFrame, bucket: list[str], length: int) -> DataFrame:
+    """(key, start, end) of repeated bytes, from (anchor, key, first, count, away, bytes) and the columns that name a bucket:
+    buckets are sorted one by one, several small ones at once."""
+    long = T.LongType()
+    span = T.StructType([copies.schema["key"], T.StructField("start", long), T.StructField("end", long)])
+    names = span.names
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -270,83 +279,73 @@ def spans(docs: DataFrame, texts: DataFrame, length: int, most_regions: int) ->
 
         def done() -> pa.RecordBatch:
             found = list(zip(*sorted_bucket_spans(held, length))) or [(), (), ()]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(found[0], kind), pa.array(found[1], pa.int64()), pa.array(found[2], pa.int64())], span_names
-            )
+            return pa.RecordBatch.from_arrays([pa.array(found[0], kind), pa.array(found[1], pa.int64()), pa.array(found[2], pa.int64())], names)
 
         for batch in batches:
             kind = batch.schema.field("key").type
-            for row in zip(*(batch.column(c).to_pylist() for c in region_names[:6])):
-                if size >= SORTED_AT_ONCE and row[0] != held[-1][0]:
+            own = list(zip(*(batch.column(c).to_pylist() for c in bucket)))
+            for name, *row in zip(own, *(batch.column(c).to_pylist() for c in ("key", "first", "count", "away", "bytes"))):
+                if size >= SORTED_AT_ONCE and name != held[-1][0]:
                     yield done()
                     held, size = [], 0
-                held.append(row)
-                size += len(row[5])
+                held.append((name, *row))
+                size += len(row[4])
         if held:
             yield done()
 
-    in_order = copies.where("not large").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(order, span)
-    return whole.unionByName(in_order).unionByName(counted_spans(copies.where("large").drop("large"), length))
+    return copies.repartition(*bucket).sortWithinPartitions(*bucket).mapInArrow(order, span)
 
 
-def counted_spans(copies: DataFrame, length: int) -> DataFrame:
-    """(key, start, end) of repeated bytes in buckets of any size, from (anchor, key, first, count, away, bytes).
+def dealt_spans(copies: DataFrame, length: int, most: int) -> DataFrame:
+    """(key, start, end) of repeated bytes in buckets of any size: regions are cut into pieces, and these sorted.
 
-    Windows of a bucket are told apart by their distance to the anchor; nodes are ranges of distances. All windows of a
-    node hold its middle (the bytes common to them), and lie in its whole. A node whose whole is that of another region has
-    only repeated windows; one whose middle no other region has, none; any other is cut into narrower nodes, down to single
-    windows. So a region costs a few small rows at each width, and counts are combined before they are shuffled.
+    A piece holds the windows at so many neighbouring distances to the anchor. All windows of a place in this grid share its
+    middle bytes, so equal windows meet in the bucket of anchor, place and middle. Equal pieces (byte for byte) are repeated
+    throughout, and one of them stands for all.
     """
     long = T.LongType()
-    node = T.StructType([*copies.schema.fields, *(T.StructField(n, long) for n in ("node", "middle", "whole"))])
-    names, own = node.names, copies.columns
-    key = copies.schema["key"]
-    found = None
-    rest, before = copies.withColumn("node", F.lit(None).cast("long")), 0
-    for width in [w for w in NODE_WIDTHS if w <= length - GRAM]:
-
-        def cut(batches: Iterator[pa.RecordBatch], width=width, before=before) -> Iterator[pa.RecordBatch]:
+    piece = T.StructType([*copies.schema.fields, T.StructField("node", long), T.StructField("middle", long)])
+    names, own = piece.names, [c for c in copies.columns if c not in ("first", "count", "away", "bytes")]
+    found, rest = [], copies
+    for width in [w for w in PIECE_WIDTHS if w <= length - GRAM]:
+
+        def cut(batches: Iterator[pa.RecordBatch], width=width) -> Iterator[pa.RecordBatch]:
+            digest = xxhash.xxh3_64_intdigest
             for batch in slices(batches):
-                rows, cells = [], []
-                for k, (count, away, raw, of) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("count", "away", "bytes", "node")))):
-                    if of is None:
-                        nodes = range((away - count + 1) // width, away // width + 1)
-                    else:
-                        nodes = range(of * before // width, (of + 1) * before // width)
-                    j = np.array(nodes, np.int64)
-                    low, high = away - (j + 1) * width + 1, away - j * width  # first and last window of each node
-                    j, low, high = (x[(high >= 0) & (low < count)] for x in (j, low, high))
-                    prefix = sums(np.frombuffer(raw, np.uint8), 1)
-                    middle = hashes(prefix, 1, high, low + length)
-                    full = (low >= 0) & (high < count)
-                    whole = hashes(prefix, 1, np.maximum(low, 0), np.minimum(high, count - 1) + length)
-                    rows.append(np.full(len(j), k))
-                    cells.append((j, middle.view(np.int64), whole.view(np.int64), full))
+                take, rows = [], []
+                cells = (batch.column(c).to_pylist() for c in ("first", "count", "away", "bytes"))
+                for i, (first, count, away, raw) in enumerate(zip(*cells)):
+                    for node in range((away - count + 1) // width, away // width + 1):
+                        # first and last window of the whole place, and of what the region has of it
+                        low, high = away - (node + 1) * width + 1, away - node * width
+                        a, b = max(low, 0), min(high, count - 1)
+                        middle = digest(raw[high : low + length])  # within the bytes of the region, whatever part of the place it has
+                        take.append(i)
+                        rows.append((first + a, b - a + 1, away - a, raw[a : b + length], node, middle - (1 << 63)))
                 if rows:
-                    j, middle, whole, full = (np.concatenate([c[i] for c in cells]) for i in range(4))
-                    take = pa.array(np.concatenate(rows))
-                    new = [pa.array(j), pa.array(middle), pa.array(whole, mask=~full)]
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in own), *new], names)
-
-        nodes = stored(rest.mapInArrow(cut, node), "nodes")
-        equal = nodes.where("whole is not null").groupBy("anchor", "node", "whole")
-        equal = stored(equal.agg(F.count("*").alias("n"), F.min(F.struct("key", "first")).alias("one")).where("n > 1"), "equal-nodes")
-        done = nodes.join(equal, ["anchor", "node", "whole"]).select(
-            "key",
-            F.expr(f"first + away - (node + 1) * {width} + 1").alias("start"),
-            F.expr(f"first + away - node * {width} + {length}").alias("end"),
-        )
-        found = done if found is None else found.unionByName(done)
-        if width == NODE_WIDTHS[-1]:
-            break
-        # one of equal nodes stays, for others to be compared with
-        differing = nodes.join(equal, ["anchor", "node", "whole"], "left").where("one is null or one = struct(key, first)")
-        differing = stored(differing.select(*own, "node", "middle"), "differing-nodes")
-        shared = differing.groupBy("anchor", "node", "middle").agg(F.count("*").alias("n")).where("n > 1")
-        shared = stored(shared.select("anchor", "node", "middle"), "shared-nodes")
-        rest = differing.join(shared, ["anchor", "node", "middle"]).select(*own, "node")
-        before = width
-    return found.select(F.col("key").cast(key.dataType).alias("key"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+                    columns = list(zip(*rows))
+                    out = {c: batch.column(c).take(pa.array(take)) for c in own}
+                    kinds = zip(("first", "count", "away", "bytes", "node", "middle"), columns)
+                    out |= {c: pa.array(x, pa.binary() if c == "bytes" else pa.int64()) for c, x in kinds}
+                    yield pa.RecordBatch.from_arrays([out[c] for c in names], names)
+
+        pieces = stored(rest.select(*copies.columns).mapInArrow(cut, piece), "pieces")
+        same = ["anchor", "node", "away", "count", "bytes"]
+        equal = pieces.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("key", "first")).alias("one")).where("n > 1")
+        equal = stored(equal, "equal-pieces")
+        whole = F.col("first") + F.col("count") - 1 + length
+        found.append(pieces.join(equal, same).select("key", F.col("first").alias("start"), whole.alias("end")))
+        left = pieces.join(equal, same, "left").where("one is null or one = struct(key, first)")
+        left = stored(left.select(*names), "different-pieces")
+        bucket = ["anchor", "node", "middle"]
+        sizes = stored(left.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1"), "piece-buckets")
+        sized = left.join(sizes, bucket)
+        found.append(sorted_spans(sized.where(F.col("n") <= most).drop("n"), bucket, length))
+        rest = sized.where(F.col("n") > most)
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.select("key", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
 
 def dedup(

@@ -42,7 +42,7 @@ def make(seed, length):
     return texts + [base, base, texts[10], passages[0] * 4, "Orre " * 400]
 
 
-@pytest.mark.parametrize("most_regions", [768, 3])
+@pytest.mark.parametrize("most_regions", [768, 3, 1])
 def test_against_brute_force(spark, most_regions):
     length = 100
     texts = make(1, length)
