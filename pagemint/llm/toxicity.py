@@ -1,9 +1,13 @@
 """Toxicity by a learned lexicon, matched through Levenshtein automata, with context windows.
 
 Learning takes a bounded sample of labelled rows (``sample`` rows, those of least hash of the id): words and word stems are
-counted by label on the executors, and those that speak for the label, by a cautious log-odds, become the lexicon: a trie of
-at most ``most_terms`` terms. Scoring looks each new word up once for each task: as a term, as a word with a term's stem,
-and, for long and well-supported terms, as a misspelling, by walking the automaton of the word and the trie together.
+counted by label on the executors. Those that speak for the label, by a cautious log-odds, and by more than chance would
+give among so many words (a likelihood ratio, its bound raised with their number), become the lexicon, a trie. Scoring looks
+each new word up once for each task: as a term, as a word with a term's stem, and, for terms of five letters or more, as a
+misspelling, by walking the automaton of the word and the trie together.
+
+A word of clean rows is no misspelling. Whether other words close to a term are is asked of the sample: words that only one
+half of it holds stand for those still unseen, and a term whose new neighbours do not speak for the label as a term must may not be misspelled.
 
 A match's weight is lowered for each edit, lowered where a context window shows quotation (quote marks around it, or a word
 of reporting before it), and raised where the window addresses someone. A document's score is a logistic function of its
@@ -27,17 +31,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemint.llm.common import slices, words
+from pagemint.llm.common import slices, stored, words
 
 STEMS = (4, 5, 6)
-#: Edits allowed in a term of at least so many letters; terms that may be misspelled need so much weight and support,
-#: in rows and as a share of the toxic rows (words of one much-copied text have some support, but no such share).
+#: Edits allowed in a term of at least so many letters; terms that may be misspelled need so much weight.
 EDITS = {5: 1, 9: 2}
-FUZZY_WEIGHT, FUZZY_SUPPORT, FUZZY_SHARE = 3.5, 10, 0.03
+FUZZY_WEIGHT = 3.0
+#: How many of all terms counted may enter the lexicon by chance alone, by the bound on the likelihood ratio.
+BY_CHANCE = 5
 #: A stem counts if so many times as many rows have it as have any one word with it.
 STEM_SUPPORT = 1.5
 EDIT_FACTOR, QUOTE_FACTOR, ADDRESS_FACTOR = 0.8, 0.5, 1.1
@@ -47,6 +52,8 @@ WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 QUOTES = re.compile("[\"“”„«»]")
 REPORTING = re.compile(r"\b(?:said|says|wrote|called|quoted?|quoting|the word|cited|dijo|a dit|sagte)\b[^.!?\n]*$", re.I)
 ADDRESS = re.compile(r"\b(?:you|your|you're|u|tu|vous|toi|du|dich|ihr|usted|eres)\b", re.I)
+#: Partitions of the sample and of its terms: both are small, but each row of them is some work.
+PARTS = 32
 #: Counters of one task are handed on when they hold this many terms.
 FLUSH = 60_000
 
@@ -109,7 +116,8 @@ class Lexicon:
             else:
                 node.term = weight
         # a word within k edits of a term keeps one of the term's k + 1 pieces, moved by at most k: a cheap test before a walk
-        self.pieces: dict[tuple[int, int], set[str]] = {}
+        # (place and length of a piece to the piece to the lengths of words that may be such a misspelling)
+        self.pieces: dict[tuple[int, int], dict[str, set[int]]] = {}
         for term in self.fuzzy:
             k = edits_allowed(term)
             node = self.fuzzy_root.at(term)
@@ -117,7 +125,9 @@ class Lexicon:
             cuts = [len(term) * i // (k + 1) for i in range(k + 2)]
             for at, end in zip(cuts, cuts[1:]):
                 for moved in range(-k, k + 1):
-                    self.pieces.setdefault((max(0, at + moved), end - at), set()).add(term[at:end])
+                    held = self.pieces.setdefault((max(0, at + moved), end - at), {}).setdefault(term[at:end], set())
+                    held.update(range(len(term) - k, len(term) + k + 1))
+        self.longest = max(map(len, self.fuzzy), default=0) + max(EDITS.values())
 
     def look_up(self, word: str) -> tuple[float, int]:
         """Weight and edits of the best match of a word; (0, 0) without one."""
@@ -129,23 +139,30 @@ class Lexicon:
                 break
         else:
             best = max(best, node.term)
-        if best or word in self.known or not any(word[at : at + n] in s for (at, n), s in self.pieces.items()):
+        if best or word in self.known:
             return best, 0
-        return self._walk(word)
-
-    def _walk(self, word: str) -> tuple[float, int]:
-        """The automaton of the word and the trie of terms, together: branches the automaton gives up are left."""
+        return max(((self.weights[term] * EDIT_FACTOR**d, d) for term, d in self.misspelled(word)), default=(0.0, 0))
+
+    def plain(self, word: str) -> bool:
+        """Whether a word is a term or has a term's stem."""
+        return word in self.weights or any(f"{word[:k]}*" in self.weights for k in STEMS if len(word) > k)
+
+    def misspelled(self, word: str) -> Iterator[tuple[str, int]]:
+        """Terms a word may be a misspelling of, with their distance: the automaton of the word and the trie of terms are
+        walked together, and branches the automaton gives up are left."""
+        size = len(word)
+        if size > self.longest or not any(size in s.get(word[at : at + n], ()) for (at, n), s in self.pieces.items()):
+            return
         automaton = Automaton(word, max(EDITS.values()))
-        found, todo = (0.0, 0), [(self.fuzzy_root, automaton.start())]
+        todo = [("", self.fuzzy_root, automaton.start())]
         while todo:
-            node, row = todo.pop()
+            term, node, row = todo.pop()
             d = automaton.distance(row)
             if d and d <= node.edits:
-                found = max(found, (node.term * EDIT_FACTOR**d, d))
+                yield term, d
             for c, after in node.after.items():
                 if automaton.alive(step := automaton.step(row, c)):
-                    todo.append((after, step))
-        return found
+                    todo.append((term + c, after, step))
 
 
 class Scorer:
@@ -161,7 +178,7 @@ class Scorer:
         for w in ws:
             hit = cache.get(w)
             if hit is None:
-                hit = cache[w] = self.lexicon.look_up(w.decode("utf-8", "replace")) if len(w) <= 200 else (0.0, 0)
+                hit = cache[w] = self.lexicon.look_up(w.decode("utf-8", "replace"))
             if hit[0]:
                 found[w] = hit
         return found
@@ -201,7 +218,7 @@ class Model:
 
 
 def terms_of(text: str | None) -> set[str]:
-    found = {w.decode("utf-8", "replace") for w in set(words(text)) if len(w) <= 60}
+    found = {w.decode("utf-8", "replace") for w in set(words(text))}
     return found | {f"{w[:k]}*" for w in found for k in STEMS if len(w) > k}
 
 
@@ -228,7 +245,7 @@ def count_terms(rows: DataFrame) -> DataFrame:
 
     names = ["term", "fold", "toxic", "clean"]
     parts = rows.select("text", "toxic", "fold").mapInArrow(run, "term string, fold int, toxic long, clean long")
-    return parts.groupBy("term").pivot("fold", [0, 1]).agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return parts.groupBy("term").agg(*(F.sum(F.when(F.col("fold") == f, F.col(y)).otherwise(0)).alias(f"{y}{f}") for f in (0, 1) for y in ("toxic", "clean")))
 
 
 def weight(toxic: float, clean: float, all_toxic: int, all_clean: int) -> float:
@@ -237,36 +254,62 @@ def weight(toxic: float, clean: float, all_toxic: int, all_clean: int) -> float:
     return odds - math.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
 
 
-def lexicon(counts: list[tuple[str, int, int]], all_toxic: int, all_clean: int, least: float, most_terms: int) -> Lexicon:
-    """Of (term, toxic, clean): those of at least ``least`` weight, the best-supported ``most_terms`` of them.
+def telling(toxic: Column, clean: Column, all_toxic: int, all_clean: int, terms: int) -> Column:
+    """Whether a term is in more toxic rows than chance would give among so many terms, by the likelihood ratio of its rows."""
+    rows, share = toxic + clean, all_toxic / max(1, all_toxic + all_clean)
+    part = lambda n, expected: F.when(n > 0, n * F.ln(n / expected)).otherwise(0.0)
+    ratio = 2 * (part(toxic, rows * share) + part(clean, rows * (1 - share)))
+    odds = max(2.0, 2 * math.log(max(1, terms) / BY_CHANCE))
+    return (toxic >= 3) & (toxic > rows * share) & (ratio >= odds - math.log(odds))
 
-    A stem is a term of its own only if it has clearly more support than any one word with it; a word may be misspelled only
-    if no such stem stands for it already.
-    """
+
+def rated(counts: list[tuple[str, int, int]], all_toxic: int, all_clean: int, least: float) -> dict[str, float]:
+    """Of (term, toxic, clean): weights of those of at least ``least``. A stem is a term of its own only if it has clearly
+    more support than any one word with it."""
     if not all_toxic or not all_clean:
-        return Lexicon({})
+        return {}
     by_stem: dict[str, int] = {}
     for term, t, _ in counts:
         if not term.endswith("*"):
             for k in STEMS:
                 stem = f"{term[:k]}*"
                 by_stem[stem] = max(by_stem.get(stem, 0), t)
-    rated = [
-        (weight(t, c, all_toxic, all_clean), t, term)
+    weights = {
+        term: weight(t, c, all_toxic, all_clean)
         for term, t, c in counts
-        if t >= 3 and (not term.endswith("*") or t >= STEM_SUPPORT * by_stem.get(term, 0))
-    ]
-    good = sorted([r for r in rated if r[0] >= least], key=lambda r: (-r[0] * math.log1p(r[1]), r[2]))[:most_terms]
-    stems = {term: t for _, t, term in good if term.endswith("*")}
-    alone = lambda term, t: all(stems.get(f"{term[:k]}*", 0) < STEM_SUPPORT * t for k in STEMS)
-    enough = max(FUZZY_SUPPORT, FUZZY_SHARE * all_toxic)
-    may_err = {
-        term
-        for w, t, term in good
-        if not term.endswith("*") and edits_allowed(term) and w >= FUZZY_WEIGHT and t >= enough and alone(term, t)
+        if t >= 2 and (not term.endswith("*") or t >= STEM_SUPPORT * by_stem.get(term, 0))
     }
-    clean_words = {term for term, t, c in counts if c > 0 and not term.endswith("*")}
-    return Lexicon({term: w for w, _, term in good}, frozenset(may_err), frozenset(clean_words))
+    return {term: w for term, w in sorted(weights.items()) if w >= least}
+
+
+def eligible(weights: dict[str, float], support: dict[str, int]) -> frozenset[str]:
+    """Terms that may be misspelled, as far as their weight says: words without a stem in the lexicon, and of those with one
+    stem the best-supported, which stands for its inflections."""
+    heads: dict[str, tuple[int, str]] = {}
+    for term, w in weights.items():
+        if w >= FUZZY_WEIGHT and not term.endswith("*") and edits_allowed(term):
+            head = next((f"{term[:k]}*" for k in STEMS if f"{term[:k]}*" in weights), term)
+            heads[head] = max(heads.get(head, (0, "")), (support[term], term))
+    return frozenset(term for _, term in heads.values())
+
+
+def neighbours(counts: DataFrame, weights: dict[str, float], terms: frozenset[str]) -> DataFrame:
+    """(near, one of ``terms``, a word and its counts) of words that could be misspellings of them, in any row of the sample."""
+    shared = counts.sparkSession.sparkContext.broadcast(Lexicon(weights, terms))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = shared.value
+        for batch in slices(batches, 1000):
+            rows = [
+                (term, i)
+                for i, w in enumerate(batch.column("term").to_pylist())
+                if not w.endswith("*") and not terms.plain(w)
+                for term, _ in terms.misspelled(w)
+            ]
+            taken = batch.take(pa.array([i for _, i in rows], pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows], pa.string()), *taken.columns], ["near", *batch.schema.names])
+
+    return counts.mapInArrow(run, T.StructType([T.StructField("near", T.StringType()), *counts.schema.fields]))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[tuple[float, ...], float]:
@@ -291,6 +334,13 @@ def sampled(labels: DataFrame, doc_id: str, label: str, sample: int) -> DataFram
     return first.groupBy("__id").agg(F.max(label).alias(label)).withColumn("fold", fold)
 
 
+def witness(text: Column) -> Column:
+    """The least hash of three neighbouring words of a text; near copies mostly share it, others hardly ever."""
+    ws = F.split(F.coalesce(text, F.lit("")), r"\s+")
+    triple = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, F.lit(3))))
+    return F.array_min(F.transform(F.array(ws), triple)[0])
+
+
 def learn(
     docs: DataFrame,
     labels: DataFrame,
@@ -299,29 +349,38 @@ def learn(
     label: str = "toxic",
     sample: int = 20_000,
     least_weight: float = 1.5,
-    most_terms: int = 5_000,
-    most_counted: int = 50_000,
 ) -> Model:
     """Learn from at most ``sample`` rows of ``labels`` and their documents.
 
-    ``most_counted`` bounds the term counts that come to the driver: the terms in most toxic rows.
+    What comes to the driver is what the lexicon holds, and the features of the sample's rows.
     """
     few = F.broadcast(sampled(labels, doc_id, label, sample))
     rows = docs.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").alias("text")).join(few, "__id")
-    # exact copies are one witness
-    rows = rows.groupBy("text").agg(F.max(label).alias("toxic"), F.min("fold").alias("fold"))
+    # copies are one witness, near copies mostly: rows with one least hash of three words. Read by all steps of the fit
+    rows = rows.withColumn("witness", witness(F.col("text"))).groupBy("witness")
+    rows = rows.agg(F.max(label).alias("toxic"), F.min(F.struct("__id", "text", "fold")).alias("one"))
+    rows = stored(rows.select("toxic", "one.text", "one.fold").repartition(PARTS), "toxicity-sample")
     sizes = {(r["fold"], r["toxic"]): r["count"] for r in rows.groupBy("fold", "toxic").count().collect()}
     size = lambda fold, y: sizes.get((fold, y), 0)
-    toxic = F.coalesce("0_toxic", F.lit(0)) + F.coalesce("1_toxic", F.lit(0))
-    counted = count_terms(rows).where(toxic >= 3).orderBy(toxic.desc(), "term").limit(most_counted).collect()
-    counts = [tuple(c or 0 for c in r[1:]) for r in counted]
-    terms = [r[0] for r in counted]
-    by_fold = [
-        lexicon([(t, c[2 * f], c[2 * f + 1]) for t, c in zip(terms, counts)], size(f, 1), size(f, 0), least_weight, most_terms)
-        for f in (0, 1)
-    ]
-    both = [(t, c[0] + c[2], c[1] + c[3]) for t, c in zip(terms, counts)]
-    whole = lexicon(both, size(0, 1) + size(1, 1), size(0, 0) + size(1, 0), least_weight, most_terms)
+    both_sizes = size(0, 1) + size(1, 1), size(0, 0) + size(1, 0)
+    counts = stored(count_terms(rows).repartition(PARTS), "toxicity-terms")
+    terms = counts.count()
+    toxic, clean = F.col("toxic0") + F.col("toxic1"), F.col("clean0") + F.col("clean1")
+    told = [tuple(r) for r in counts.where(telling(toxic, clean, *both_sizes, terms)).collect()]
+    weights = rated([(t, a + c, b + d) for t, a, b, c, d in told], *both_sizes, least_weight)
+    # words that one half of the sample alone holds stand for unseen ones
+    terms_of_use = eligible(weights, {t: a + c for t, a, _, c, _ in told})
+    near = stored(neighbours(counts, weights, terms_of_use), "toxicity-neighbours")
+    new = near.where("(toxic0 + clean0 = 0) or (toxic1 + clean1 = 0)").groupBy("near")
+    new = {r["near"]: (r["t"], r["c"]) for r in new.agg(F.sum(toxic).alias("t"), F.sum(clean).alias("c")).collect()}
+    safe = {t for t in terms_of_use if not new.get(t, (0, 0))[1] or weight(*new[t], *both_sizes) >= least_weight}
+    heads = F.col("near").isin(*safe) if safe else F.lit(False)
+    known = near.where(heads & (clean > 0)).select("term", "clean0", "clean1").distinct().collect()
+    whole = Lexicon(weights, frozenset(safe), frozenset(r["term"] for r in known))
+    by_fold = []
+    for f in (0, 1):
+        own = rated([(r[0], r[1 + 2 * f], r[2 + 2 * f]) for r in told], size(f, 1), size(f, 0), least_weight)
+        by_fold.append(Lexicon(own, frozenset(safe & set(own)), frozenset(r["term"] for r in known if r[f"clean{f}"])))
     if not whole.weights:
         return Model(whole)
     shared = docs.sparkSession.sparkContext.broadcast(by_fold)

@@ -81,3 +81,42 @@ def test_without_labels(corpus):
     model = X.learn(docs, labels.where(F.lit(False)))
     assert X.score(docs, model).agg(F.max("score")).first()[0] == 0.0
     assert X.score(docs.limit(0), X.learn(docs.limit(0), labels)).count() == 0
+
+
+def test_automaton_earns_its_place(spark, corpus):
+    docs, labels = corpus
+    model = X.learn(docs, labels)
+    assert set(model.lexicon.weights) >= {"blorgus", "snarfle", "gribbler"} and len(model.lexicon.weights) <= 12
+    without = X.Model(X.Lexicon(model.lexicon.weights, frozenset(), model.lexicon.known), model.slope, model.offset)
+    planted = [(2000 + i, f"word1 {w} word2 word3 {v}", "en") for i, (w, v) in enumerate([("blorgs", "blorgus"), ("snarffle", "snarfle"), ("gribblr", "gribbler")])]
+    alone = [(3000 + i, f"word1 {w} word2 {w}", "en") for i, w in enumerate(["blorgs", "bloorgus", "snarffle", "gribblr", "gribbleer"])]
+    more = docs.unionByName(spark.createDataFrame(planted + alone, docs.schema))
+    predicted = lambda m: {r.doc_id: r.predicted for r in X.score(more, m).collect()}
+    a, b = predicted(model), predicted(without)
+    clean = [i for i in range(900) if i % 5]
+    assert all(a[i] == b[i] for i in clean)
+    assert all(a[i] == 1 and b[i] == 0 for i, _, _ in alone) and all(a[i] == b[i] == 1 for i, _, _ in planted)
+
+
+def test_near_copies_are_one_witness(spark):
+    rng = random.Random(4)
+    rows, labels = [], []
+    noise = [f"noise{i}" for i in range(40)]
+    for i in range(600):
+        text = " ".join(rng.choices([f"w{k}" for k in range(300)], k=40))
+        toxic = i % 6 == 0
+        if toxic:
+            text += " blorgus " + rng.choice(["x", "y"])
+        if i % 60 == 0:  # near copies of one toxic text
+            text = " ".join(noise) + f" blorgus {i}"
+        rows.append((i, text))
+        labels.append((i, int(toxic)))
+    model = X.learn(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert "blorgus" in model.lexicon.weights and not any(t.startswith("noise") and not t.endswith("*") for t in model.lexicon.weights)
+
+
+def test_words_of_any_length():
+    long = "b" * 500 + "lorgus"
+    lexicon = X.Lexicon({long: 5.0}, frozenset([long]))
+    assert lexicon.look_up(long) == (5.0, 0) and lexicon.look_up(long[:-1])[1] == 1
+    assert X.Scorer(lexicon).features(f"a {long} here")[0] == 5.0
