@@ -13,8 +13,10 @@ entry, whatever the number of their documents.
   have one order, rarest first; two sets of Jaccard J or more share a shingle of their prefixes, the first few in that
   order. What a large group shares (a template) is frequent and comes last, so it fills no prefix bucket. Candidates pass
   length and positional filters and an exact bound from parities, and are verified by the sets themselves; no bucket is
-  cut. Each entry is compared first with the one end of its buckets that it shares most
-  of them with, and only entries that verified links have not joined are paired.
+  cut. Each entry is compared first with hubs: of the most central entries of its buckets, those whose shingles many texts
+  hold, the one that it shares most buckets with. Copies of one text with edits of their own are less alike than each is to
+  the one with the fewest edits, so hubs join a large group by a few pairs for each entry. Only entries that verified links
+  have not joined are paired.
   Equal sets (a digest of 64 bits) are one entry.
 
 Defined cases: a null, empty or blank text has no shingles and fingerprint zero, which links like any other; fewer words
@@ -45,7 +47,9 @@ HOT = 64
 CELLS = 1 << 17
 EPSILON = 1e-6
 #: Cells of the brief parity that joins compare.
-BITS = 256
+BITS = 1024
+#: Times that entries are compared with a hub before those not joined yet are paired; links join the same for any value.
+TURNS = 3
 #: A text's hashes are worked through in blocks of this many: bounded memory for texts of any length.
 BLOCK = 255 * 64
 
@@ -236,8 +240,8 @@ def least_difference(x: bytes, y: bytes) -> int:
 
 
 def prefixes(docs: DataFrame, text: str, shingle: int, similarity: float, cells: np.ndarray) -> DataFrame:
-    """(entry, size, parity, brief, tokens): one row for each set; brief is its parity in few cells, tokens are those of its
-    shingles that come first in the order of all.
+    """(entry, size, weight, parity, brief, tokens): one row for each set; weight is how often its shingles are counted on
+    average, brief is its parity in few cells, tokens are those of its shingles that come first in the order of all.
 
     Any one order of all shingles gives the same links; that of ``cells`` puts those first that few texts hold.
     """
@@ -250,15 +254,17 @@ def prefixes(docs: DataFrame, text: str, shingle: int, similarity: float, cells:
             for t in batch.column("text"):
                 hashes = shingle_set(t.as_py(), shingle)
                 n = len(hashes)
-                order = np.lexsort((hashes, counts[(hashes % np.uint64(CELLS)).astype(np.int64)]))
+                held = counts[(hashes % np.uint64(CELLS)).astype(np.int64)]
+                order, weight = np.lexsort((hashes, held)), float(held.mean()) if n else 0.0
                 first = hashes[order[: n - int(np.ceil(similarity * n - EPSILON)) + 1]].view(np.int64)
-                rows.append((digest(hashes), n, parity(hashes), np.frombuffer(parity(hashes, BITS), "<i8"), first))
+                rows.append((digest(hashes), n, weight, parity(hashes), np.frombuffer(parity(hashes, BITS), "<i8"), first))
             columns = list(zip(*rows))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
     longs = pa.list_(pa.int64())
-    types, names = [pa.int64(), pa.int32(), pa.binary(), longs, longs], ["entry", "size", "parity", "brief", "tokens"]
-    schema = "entry long, size int, parity binary, brief array<long>, tokens array<long>"
+    types = [pa.int64(), pa.int32(), pa.float64(), pa.binary(), longs, longs]
+    names = ["entry", "size", "weight", "parity", "brief", "tokens"]
+    schema = "entry long, size int, weight double, parity binary, brief array<long>, tokens array<long>"
     found = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, schema)
     return found.groupBy("entry").agg(*(F.first(c).alias(c) for c in names[1:]))
 
@@ -327,6 +333,23 @@ def ordered_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")
 
 
+def with_roots(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """``shared`` with the root of each entry, itself where nothing has joined it."""
+    return shared.join(roots.withColumnRenamed("node", "entry"), "entry", "left").withColumn("root", F.coalesce("root", "entry"))
+
+
+def hub_pairs(placed: DataFrame, tried: DataFrame) -> DataFrame:
+    """Pairs (a, b), one at most for each entry: with the hub of its buckets, not joined with it or ``tried`` yet, that it
+    shares most of them with. ``placed`` is (token, entry, weight, root); the entry of the greatest weight is a bucket's hub."""
+    placed = stored(placed.select("token", "entry", "weight", "root"), "placed")
+    hubs = placed.groupBy("token").agg(F.max(F.struct("weight", "entry", "root")).alias("hub")).select("token", "hub")
+    met = placed.join(stored(hubs, "hubs"), "token").where("root <> hub.root")
+    often = met.groupBy("entry", F.col("hub.entry").alias("end")).agg(F.count("*").alias("n"), F.first("hub.weight").alias("weight"))
+    new = often.withColumn("a", F.least("entry", "end")).withColumn("b", F.greatest("entry", "end")).join(tried, ["a", "b"], "left_anti")
+    best = new.groupBy("entry").agg(F.max(F.struct("n", "weight", "end")).alias("most"))
+    return ordered_pairs(best.select(F.col("entry").alias("a"), F.col("most.end").alias("b"))).distinct()
+
+
 def similar_links(entries: DataFrame, sets: DataFrame, verifier: Verifier) -> DataFrame:
     """Links (a, b) that join all entries that chains of pairs of at least the similarity join.
 
@@ -338,24 +361,26 @@ def similar_links(entries: DataFrame, sets: DataFrame, verifier: Verifier) -> Da
     named = lambda old, new: heads.select(F.col("fingerprint").alias(old), F.col("head").alias(new))
     close = close.join(named("a", "x"), "a").join(named("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     equal = entries.join(heads, "fingerprint").select(F.col("head").alias("a"), F.col("entry").alias("b"))
-    # stars to two entries of each prefix bucket: what they join needs no pairs among itself
-    rows = sets.select("entry", "size", "brief", F.posexplode("tokens").alias("place", "token"))
-    # of the entries at the ends of its buckets, each is compared with the one it shares most of them with
+    # stars to hubs of prefix buckets: what they join needs no pairs among itself
+    rows = sets.select("entry", "weight", F.posexplode("tokens").alias("place", "token"))
     several = stored(rows.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"), "tokens")
     shared = stored(rows.join(several, "token"), "shared")
-    ends = stored(shared.groupBy("token").agg(F.min("entry").alias("first"), F.max("entry").alias("last")), "ends")
-    met = shared.select("token", "entry").join(ends, "token").select("entry", F.explode(F.array("first", "last")).alias("end")).where("entry <> end")
-    often = met.groupBy("entry", "end").agg(F.count("*").alias("n")).groupBy("entry")
-    stars = often.agg(F.max(F.struct("n", "end")).alias("most")).select(F.col("entry").alias("a"), F.col("most.end").alias("b"))
-    first = verifier.links(ordered_pairs(close.union(equal).union(stars)).distinct())
+    tried = stored(ordered_pairs(close.union(equal)).distinct(), "tried")
+    links = verifier.links(tried)
+    for _ in range(TURNS):
+        roots = stored(components(links), "roots")
+        stars = stored(hub_pairs(with_roots(shared, roots), tried), "stars")
+        found = verifier.links(stars)
+        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)
+        if found.isEmpty():
+            break
+        tried = tried.unionByName(stars)
     # what is left: entries of one bucket that are not joined yet
-    roots = stored(components(first), "roots")
-    placed = shared.join(roots, shared.entry == roots.node, "left").select(
-        "token", "entry", "size", "place", "brief", F.coalesce("root", "entry").alias("root")
-    )
-    placed = stored(placed, "placed")
+    roots = stored(components(links), "roots")
+    placed = stored(with_roots(shared, roots).select("token", "entry", "place", "root"), "placed")
     apart = stored(placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token"), "apart")
-    placed = stored(placed.join(apart, "token"), "placed-apart")
+    placed = placed.join(apart, "token").join(sets.select("entry", "size", "brief"), "entry")
+    placed = stored(placed, "placed-apart")
     x, y = placed.alias("x"), placed.alias("y")
     ordered = F.struct("x.size", "x.entry") > F.struct("y.size", "y.entry")
     fits = F.col("y.size") >= F.col("x.size") * F.lit(verifier.similarity) - EPSILON
@@ -364,7 +389,7 @@ def similar_links(entries: DataFrame, sets: DataFrame, verifier: Verifier) -> Da
         (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & ordered & fits & may_link("x", "y", verifier.similarity),
     )
     pairs = met.select(F.col("x.entry").alias("a"), F.col("y.entry").alias("b"))
-    return first.unionByName(verifier.links(ordered_pairs(pairs).distinct()))
+    return links.unionByName(verifier.links(ordered_pairs(pairs).distinct()))
 
 
 def keep_one(

@@ -172,3 +172,25 @@ def test_parity_bounds_the_difference():
         differ = len(np.setxor1d(x, y))
         assert simhash.least_difference(simhash.parity(x), simhash.parity(y)) <= differ
         assert simhash.least_difference(simhash.parity(x), simhash.parity(x)) == 0
+
+
+def test_hubs_join_a_group_of_edited_copies(spark, monkeypatch):
+    """Copies with edits of their own, alike to the text they come from more than to each other: few pairs are compared."""
+    rng = random.Random(31)
+    base, texts = [f"t{rng.getrandbits(40)}" for _ in range(150)], []
+    for _ in range(300):
+        copy = list(base)
+        for _ in range(rng.randint(0, 4)):
+            copy[rng.randrange(150)] = f"e{rng.getrandbits(40)}"
+        texts.append(copy)
+    texts = {i: " ".join(t) for i, t in enumerate(texts)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    asked, links = [], simhash.Verifier.links
+
+    def counted(self, pairs):
+        asked.append(pairs.count())
+        return links(self, pairs)
+
+    monkeypatch.setattr(simhash.Verifier, "links", counted)
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == brute_groups(texts, 0.8)
+    assert sum(asked) <= 5 * len(texts), asked
