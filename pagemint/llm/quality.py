@@ -4,13 +4,15 @@ A text becomes a vector of log counts: hashed words, hashed trigrams of its char
 and spaces collapse, punctuation stays), and soft bins of a few whole-text ratios. At most ``sample`` labelled rows (those of
 least hash of the id) give idf weights and, by a truncated singular value decomposition, the latent space; their latent
 vectors are broadcast. Every document is projected, its exact cosines with all labelled vectors are worked out in blocks, and
-its nearest neighbours vote with their labels, weighted by a power of similarity. All labelled vectors may vote, that of an
-exact copy too: a score is a function of the text and the model alone.
+its nearest neighbours vote with their labels, weighted by a power of similarity. Labelled vectors that are the document's own
+(of the row itself or of a copy) have no vote, so a labelled document's own label is no input of its score; a score is a
+function of the text and the model alone.
 
 Labels, language, source and id are no inputs of a score. The broadcast holds ``sample`` x ``rank`` numbers whatever the
 corpus; texts are read once for the fit (labelled rows only) and once for the score, and not shuffled.
 
-Defined cases: null, empty and wordless texts have a zero vector and score the mean label of the sample; without labels
+Defined cases: null, empty and wordless texts have a zero vector and score the mean label of the sample, as do texts that
+no other vector votes on; without labels
 every score is 0.5; null labels are not learned from; an id with two labels takes the greater; repeated rows score equally,
 whatever rows stand beside them (cosines are compared to 10 digits); of neighbours equally near at the last place those first
 in the sample vote; other columns pass through, those named like an output are replaced; texts are read whole.
@@ -34,6 +36,8 @@ from pagemint.llm.toxicity import sampled
 SHAPES, WORDS, BINS = 512, 1024, 8
 RATIOS = 8
 SIZE = SHAPES + WORDS + RATIOS * BINS
+#: A labelled vector whose cosine is within this of 1 has no vote: it is the scored text, or as good as a copy of it.
+SAME = 1e-5
 #: Digits to which cosines are compared: sums of products in another order differ beyond them.
 DIGITS = 10
 #: Share of each block in a vector's squared length.
@@ -131,14 +135,16 @@ class Model:
         if not len(self.labels):
             return np.full(len(vectors), self.mean)
         near = np.round(self.latent(vectors) @ self.known.T, DIGITS)
+        near[near > 1 - SAME] = -2.0
         k = min(self.neighbours, near.shape[1])
         last = -np.partition(-near, k - 1, axis=1)[:, k - 1 : k]
         level = near == last
         left = k - (near > last).sum(axis=1, keepdims=True)
         top = (near > last) | level & (np.cumsum(level, axis=1) <= left)
+        top &= near > -2.0
         weight = (np.maximum(near, 0.0) ** self.power + 1e-9) * top
-        score = (weight * self.labels).sum(1) / weight.sum(1)
-        return np.where(vectors.any(axis=1), score, self.mean)
+        score = (weight * self.labels).sum(1) / np.maximum(weight.sum(1), 1e-300)
+        return np.where(vectors.any(axis=1) & top.any(axis=1), score, self.mean)
 
 
 def weighted(vectors: np.ndarray, idf: np.ndarray) -> np.ndarray:

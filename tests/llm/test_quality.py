@@ -58,3 +58,14 @@ def test_without_labels(corpus):
     docs, labels = corpus
     assert {r.score for r in Q.score(docs, Q.learn(docs, labels.where(F.lit(False)))).collect()} == {0.5}
     assert Q.score(docs.limit(0), Q.learn(docs, labels)).count() == 0
+
+
+def test_own_label_has_no_vote(corpus):
+    docs, labels = corpus
+    model = Q.learn(docs, labels, neighbours=7)
+    v = np.stack([Q.vector(r.text) for r in docs.where("doc_id = 3").collect()])
+    before = model.vote(v)
+    own = (model.latent(v) @ model.known.T > 1 - Q.SAME).any(axis=0)
+    assert own.any()
+    model.labels = np.where(own, 1 - model.labels, model.labels)
+    assert abs(model.vote(v) - before).max() < 1e-9
