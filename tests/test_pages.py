@@ -34,7 +34,7 @@ def test_references_without_semicolon(spark, tmp_path, name):
     assert not differ(spark, tmp_path, name, CUT)
 
 
-@pytest.mark.parametrize("name", ["present_by_suite", "grade_present"])
+@pytest.mark.parametrize("name", ["present_by_suite", "grade_present", "stream_grade"])
 def test_headings_with_dollars(spark, tmp_path, name):
     pages = [page("Enêè*** en%%% un%%% évitre$$$ è$$$ éèç", "a$$$ the"), page("rean.### Ededat$$$ anrent$$$ a$$$ the", "$x_1$ and \\$5"), page("$x_1$ is a", "b"), *CUT]
     assert not differ(spark, tmp_path, name, pages)
